@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 #: White space of the word rule, as a regular expression and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Matches folded into one accumulator before the outer fold sees them; keeps folds near linear.
 CHUNK = 256
 
@@ -59,11 +58,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z and nothing else, so that code points keep their places."""
-    return F.translate(col, UPPER, UPPER.lower())
-
-
 def words_of(col: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; a null text has none."""
     return F.filter(F.split(F.coalesce(col, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")

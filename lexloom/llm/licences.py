@@ -4,6 +4,8 @@ Texts are normalised (A-Z lower-cased, everything but letters a-z and digits one
 line, and the whole text where it has several) is compared by its set of word bigrams.  A unit with too
 few or too many bigrams for a template cannot reach the threshold t, as Dice >= t needs
 |T| * t / (2 - t) <= |U| <= |T| * (2 - t) / t: those templates are skipped before any set is compared.
+The same bound says that a match shares |T| / (2 - t) * t bigrams or more, so it holds one of any words that
+leave fewer bigrams than that untouched: units without any of these telling words are not split at all.
 
 Defined cases: null and empty texts, and units of fewer than two words, match nothing; on equal scores
 the licence whose name sorts first wins; repeated rows get equal results; an empty table gives none.
@@ -12,12 +14,11 @@ the licence whose name sorts first wins; repeated rows get equal results; an emp
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
-
 #: Least Dice coefficient of a match.
 LEAST = 0.8
 # Public licence notices and short licence texts.
@@ -90,6 +91,21 @@ def bounds(size: int, least: float = LEAST) -> tuple[int, int]:
     return -int(-size * least // (2 - least)), int(size * (2 - least) / least)
 
 
+def telling_words(least: float = LEAST) -> list[str]:
+    """Few long words such that every unit that matches some template holds one of them."""
+    todo = {i: (own, len(own) * least / (2 - least)) for i, (_, own) in enumerate(templates())}
+    words = sorted({w for own, _ in todo.values() for g in own for w in g.split()})
+    out: list[str] = []
+
+    def missed(own: list[str], chosen: list[str]) -> int:
+        return sum(not any(c in w for w in g.split() for c in chosen) for g in own)
+
+    while todo := {i: x for i, x in todo.items() if missed(x[0], out) >= x[1]}:
+        gain = {w: sum(missed(own, out) - missed(own, [*out, w]) for own, _ in todo.values()) for w in words}
+        out.append(max((w for w in words if gain[w]), key=lambda w: (len(w) >= 6, gain[w], len(w), w)))
+    return out
+
+
 def _hashed(grams: list[str]) -> Column:
     return F.array(*[F.xxhash64(F.lit(g)) for g in grams])
 
@@ -111,10 +127,19 @@ def scan(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataF
     """``docs`` with license, license_score and license_units: the best match and how many units match."""
     sizes = [len(own) for _, own in templates()]
     fewest, most = bounds(min(sizes), least)[0], bounds(max(sizes), least)[1]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.withColumn("__text", ascii_lower(text))
-    lines = F.split(F.col("__text"), "\n", -1)
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.col("__text")))).otherwise(lines)
+    telling = telling_words(least)
+
+    def tells(x: Column) -> Column:
+        return reduce(lambda a, b: a | b, [x.contains(w) for w in telling])
+
+    plain = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    plain = plain.withColumn(
+        "__plain",  # A-Z alone change their case, as nothing else is left
+        F.when(tells(F.lower("__text")), F.lower(F.regexp_replace("__text", r"[^A-Za-z0-9\n]+", " "))).otherwise(F.lit("")),
+    )
+    text = F.col("__plain")
+    lines = F.filter(F.split(text, "\n", -1), tells)
+    units = F.when(text.contains("\n"), F.concat(lines, F.array(text))).otherwise(lines)
 
     def grams(unit: Column) -> Column:
         words = F.filter(F.split(unit, "[^a-z0-9]+"), lambda w: w != "")
@@ -133,7 +158,7 @@ def scan(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataF
         out.withColumn("license", best["name"])
         .withColumn("license_score", F.round(-best["neg"], 6))
         .withColumn("license_units", F.size("__found").cast("bigint"))
-        .drop("__text", "__sets", "__found")
+        .drop("__text", "__plain", "__sets", "__found")
     )
 
 

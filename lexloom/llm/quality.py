@@ -35,6 +35,11 @@ KEEP_FROM = 0.5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _joined(left: Column, right: Column, step: int) -> Column:
+    """Hashes of each left hash with the right one ``step`` places on (past the end: of the left alone)."""
+    return F.zip_with(left, F.slice(right, step + 1, F.size(right)), lambda a, b: F.xxhash64(a, b))
+
+
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts of the base rule and the capital letters of each text.
 
@@ -44,28 +49,31 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("__text", text)
     text = F.col("__text")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACE_CHARS))) > 0)
     out = (
-        out.withColumn("__words", F.transform(words_of(text), lambda w: F.xxhash64(w)))
+        out.withColumn("__strings", words_of(text))
+        .withColumn("__words", F.transform("__strings", lambda w: F.xxhash64(w)))
         .withColumn("__lines", F.transform(lines, lambda x: F.xxhash64(x)))
-        .withColumn("__solid", F.translate(text, SPACE_CHARS, ""))
         .withColumn("n_words", F.size("__words").cast("bigint"))
-        .withColumn("word_chars", F.length("__solid").cast("bigint"))
-        .withColumn("n_symbols", (F.length("__solid") - F.length(F.translate("__solid", SYMBOLS, ""))).cast("bigint"))
-        .withColumn("n_caps", F.length(F.regexp_replace("__solid", r"[^\p{Lu}]+", "")).cast("bigint"))
+        .withColumn("word_chars", F.aggregate("__strings", F.lit(0).cast("bigint"), lambda n, w: n + F.length(w)))
+        .withColumn("n_symbols", F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("bigint"))
+        .withColumn("n_caps", F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("bigint"))
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"))
         .withColumn("__bits", F.length(F.bin(F.col("n_words"))))
     )
     low = F.expr("shiftleft(1L, __bits) - 1")
     w = F.col("__words")
+    out = out.withColumn("__pairs", _joined(w, w, 1)).withColumn("__fours", _joined(F.col("__pairs"), F.col("__pairs"), 2))
+    hashes = _joined(F.col("__fours"), w, 4)
     packed = F.transform(
-        F.sequence(F.lit(0), F.size(w) - WINDOW),
-        lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])
-        .bitwiseAND(F.bitwise_not(F.col("__low")))
-        .bitwiseOR(i.cast("bigint")),
+        F.col("__hash"), lambda x, i: x.bitwiseAND(F.bitwise_not(F.col("__low"))).bitwiseOR(i.cast("bigint"))
     )
-    out = out.withColumn("__low", low).withColumn(
-        "__packed", F.when(F.size(w) >= WINDOW, F.array_sort(packed)).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    out = (
+        out.withColumn("__low", low)
+        .withColumn("__hash", F.slice(hashes, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))))
+        .withColumn("__again", F.size(F.array_distinct("__hash")) < F.size("__hash"))
+        .withColumn("__packed", F.when(F.col("__again"), F.sort_array(packed)).otherwise(none))
     )
     p = F.col("__packed")
 
@@ -73,7 +81,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.coalesce(x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(F.col("__low"))) == 0, F.lit(False))
 
     twice = F.filter(p, lambda x, i: same(x, F.get(p, i + 1)) | same(x, F.get(p, i - 1)))
-    out = out.withColumn("__at", F.array_sort(F.transform(twice, lambda x: x.bitwiseAND(F.col("__low")))))
+    out = out.withColumn("__at", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("__low")))))
     covered = F.aggregate(
         F.col("__at"),
         F.struct(F.lit(-WINDOW).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n")),
@@ -81,7 +89,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc: acc["n"],
     )
     return out.withColumn("n_repeat_words", covered).drop(
-        "__text", "__words", "__lines", "__solid", "__bits", "__low", "__packed", "__at"
+        "__text", "__strings", "__words", "__pairs", "__fours", "__lines", "__bits", "__low", "__hash", "__again", "__packed", "__at"
     )
 
 
@@ -172,7 +180,7 @@ def judged(df: DataFrame) -> DataFrame:
 
 def _with_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("n_lines", F.length(text) - F.length(F.translate(text, "\n", "")) + 1)
+    return docs.withColumn("n_lines", F.size(F.split(text, "\n", -1)))
 
 
 def digest(docs: DataFrame) -> DataFrame:

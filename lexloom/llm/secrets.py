@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, matches, no_matches, spans_text
+from .common import matches, no_matches, spans_text
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -73,7 +73,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = F.col("__low")
-    out = docs.withColumn("__text", text).withColumn("__low", ascii_lower(F.col("__text")))
+    out = docs.withColumn("__text", text).withColumn("__low", F.lower(F.col("__text")))
     text = F.col("__text")
 
     def found(when: Column, pattern: str, kind: str, group: int | None = None, least: int = 1) -> Column:
