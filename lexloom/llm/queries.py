@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, quality, secrets, sharding
+from . import licences, near_duplicates, quality, secrets, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": lambda spark, d: licences.digest(table(spark, d, "documents")),
         "op2_sharding": lambda spark, d: sharding.shard_by_bytes(table(spark, d, "documents")),
+        "op4_near_duplicates": lambda spark, d: near_duplicates.group(table(spark, d, "documents")),
         "op9_quality_rules": lambda spark, d: quality.digest(table(spark, d, "documents")),
         "op10_secret_scan": lambda spark, d: secrets.digest(table(spark, d, "documents")),
     }
