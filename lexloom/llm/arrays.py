@@ -40,10 +40,15 @@ def cuts(texts: list[str | None], most: int = CUT) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def joined_text(texts: list[str | None]) -> str:
+    """All texts in one, at the places that ``code_points`` gives their characters."""
+    return "\n" + "\n".join([t or "" for t in texts]) + "\n"
+
+
+def code_points(texts: list[str | None], joined: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All code points, a BREAK before the first text and after each; and the places of the breaks."""
     flat = [t or "" for t in texts]
-    joined = "\n" + "\n".join(flat) + "\n"
+    joined = joined_text(flat) if joined is None else joined
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     at = np.zeros(len(flat) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1, out=at[1:])

@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, near_duplicates, quality, secrets, sharding
+from . import bpe, licences, near_duplicates, packing, quality, secrets, sharding
 from .common import table
 
+
+
+def vocabulary(name: str) -> str:
+    """Where the public vocabulary file lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,6 +26,8 @@ def queries() -> dict[str, Query]:
         "op1_license_scan": lambda spark, d: licences.digest(table(spark, d, "documents")),
         "op2_sharding": lambda spark, d: sharding.shard_by_bytes(table(spark, d, "documents")),
         "op4_near_duplicates": lambda spark, d: near_duplicates.group(table(spark, d, "documents")),
+        "op5_bpe_round_trip": lambda spark, d: bpe.round_trips(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json")),
+        "op6_best_fit_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), vocabulary("word_bpe_49k.json")),
         "op9_quality_rules": lambda spark, d: quality.digest(table(spark, d, "documents")),
         "op10_secret_scan": lambda spark, d: secrets.digest(table(spark, d, "documents")),
     }
