@@ -3,8 +3,9 @@
 Each projection alone orders the vectors of a block.  Around a query's own projection stands a window
 that grows from round to round (virtual rehashing: wider buckets without hashing anew); every vector
 counts the projections whose window holds it, and one that reaches the threshold is verified by its
-exact distance.  A query stops when enough vectors are verified and the nearest are well inside the
-radius, or when its windows hold everything.
+exact distance.  A query stops when its k-th verified vector is so near that a nearer one would have
+reached the threshold (within SURE standard deviations of its count), or when its windows hold
+everything.  So data with clear neighbours stop early, and nothing else caps the candidates.
 
 Queries and rows are dealt into blocks of bounded size; each pair of blocks is searched by itself and
 leaves at most k rows a query, of which the best k are kept.
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, THRESHOLD = 48, 0.5
-#: Growth of the radius a round, and the share of a block that is verified before a query may stop.
-GROWTH, VERIFIED, AT_LEAST = 1.25, 0.03, 200
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 1_024
+PROJECTIONS, THRESHOLD = 96, 0.5
+#: Growth of the radius a round, and how many standard deviations beyond its mean a count may miss.
+GROWTH, SURE = 1.2, 1.3
+#: A vector at distance s collides in half of its projections, in the mean, once the radius is HALF * s.
+HALF = 0.6745
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 256
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
@@ -45,9 +48,9 @@ def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     ordered = np.take_along_axis(projected, order, 0)
     centre = queries @ axes
     need = int(np.ceil(THRESHOLD * PROJECTIONS))
-    enough = max(AT_LEAST, int(VERIFIED * n)) + k
-    # The first radius: about one row in two hundred falls into a window of the densest projection.
-    spread = np.quantile(np.abs(projected - np.median(projected, 0)), 0.005)
+    slack = 1 + SURE * np.sqrt(0.25 / PROJECTIONS) / 0.4286  # 0.4286: slope of the count's mean in log radius
+    # The first window holds about a quarter of the rows where a projection is densest.
+    spread = np.quantile(np.abs(projected - np.median(projected, 0)), 0.25)
     found_q, found_id, found_d = [], [], []
     for q in range(len(queries)):
         counts = np.zeros(n, np.int16)
@@ -71,11 +74,9 @@ def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
                 picked = np.concatenate([picked, fresh])
                 distance = np.concatenate([distance, np.sqrt((gap * gap).sum(1))])
             whole = bool((low == 0).all() and (high == n).all())
-            if whole or len(picked) >= enough and np.partition(distance, k - 1)[k - 1] <= radius * 3:
+            if whole or len(picked) >= k and np.partition(distance, k - 1)[k - 1] * HALF * slack <= radius:
                 break
             radius *= GROWTH
-            if len(picked) >= enough and len(picked) >= n // 2:
-                break
         best = np.lexsort((ids[picked], distance))[:k]
         found_q.append(np.full(len(best), query_ids[q]))
         found_id.append(ids[picked[best]])
@@ -100,7 +101,7 @@ def search(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
     asked = (
         rows.filter(F.col("id") % every == 0)
         .withColumn("query_block", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(query_blocks)).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     )
     keys = ["block", "query_block", "dim"]
 
