@@ -83,6 +83,7 @@ def _read_indic(word: str, start: int) -> list[int | str]:
     vowels = {start + o: i for i, o in enumerate(VOWEL_AT)}
     signs = {start + o: i for i, o in enumerate(SIGN_AT) if o}
     others = {start + o: nv + i for i, o in enumerate(MARK_AT)} | {start + o: nv + nm + i for i, o in enumerate(CONSONANT_AT)}
+    word = word.replace(chr(start + 0x38) + chr(start + 0x3C), chr(start + 0x36))  # one letter has no composed form
     out: list[int | str] = []
     open_ = False  # a consonant that still carries its vowel
     for c in word:
