@@ -13,6 +13,7 @@ the licence whose name sorts first wins; repeated rows get equal results; an emp
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -88,7 +89,7 @@ def templates() -> list[tuple[str, list[str]]]:
 
 def bounds(size: int, least: float = LEAST) -> tuple[int, int]:
     """The least and most bigrams of a unit that can match a template with ``size`` of them."""
-    return -int(-size * least // (2 - least)), int(size * (2 - least) / least)
+    return math.ceil(size * least / (2 - least) - 1e-9), math.floor(size * (2 - least) / least + 1e-9)
 
 
 def telling_words(least: float = LEAST) -> list[str]:
@@ -100,7 +101,7 @@ def telling_words(least: float = LEAST) -> list[str]:
     def missed(own: list[str], chosen: list[str]) -> int:
         return sum(not any(c in w for w in g.split() for c in chosen) for g in own)
 
-    while todo := {i: x for i, x in todo.items() if missed(x[0], out) >= x[1]}:
+    while todo := {i: x for i, x in todo.items() if missed(x[0], out) >= x[1] - 1e-9}:
         gain = {w: sum(missed(own, out) - missed(own, [*out, w]) for own, _ in todo.values()) for w in words}
         out.append(max((w for w in words if gain[w]), key=lambda w: (len(w) >= 6, gain[w], len(w), w)))
     return out
