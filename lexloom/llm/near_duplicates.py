@@ -3,9 +3,10 @@
 A document's set holds its distinct two-word shingles.  Equal sets form a class at once, by digest, and
 one class member stands for all.  Signatures of the representatives are banded; in every bucket the
 members are tested against a centre (the smallest id), on full sets.  A bucket whose members then still
-lie in several components goes on: further members serve as centres, several a round and bucket, until
-all members that never served lie in one component.  So every pair of a bucket that could join two
-components is tested, while a bucket of one group of copies costs a single star, however large it is.
+lie in several components goes on: members outside its largest component serve as centres, some a round
+and bucket, until all members that never served lie in one component.  So every pair of a bucket that
+could join two components is tested, while a bucket of one group of copies costs a single star, however
+large it is.  Two sets at the threshold miss all buckets with a probability of 5e-6.
 
 Defined cases: texts that are null, empty or without words have an empty set and are linked with
 nothing; rows with a null doc_id are linked with nothing and kept; rows of equal doc_id are one node of
@@ -24,14 +25,14 @@ from pyspark.sql import functions as F
 from .arrays import code_points, cuts, is_word, mix, prefix_hashes, run_hashes, runs
 from .common import drop_stored, stored
 
-BANDS, ROWS = 36, 5
+BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
 #: Similarity that links, as a fraction.
 SHARE, OF = 80, 100
 #: Bits of a shingle's hash that are kept; the others hold a document's place in its cut.
 BITS = 48
-#: Centres a bucket and round, after the first.
-CENTRES = 8
+#: About as many centres a bucket and round, after the first, at most.
+CENTRES = 64
 #: From this level on, permutations are kept as rows and not as lists of swaps.
 ROWS_FROM = 6
 
@@ -246,35 +247,32 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     labels = components(links)
     # Members that have not served as a centre, of buckets where these lie in several components.
     waiting = shared.filter("rep <> centre").select("bucket", "rep", "n_shingles")
-    seen = [links]
-    served_in = 0
+    turn = 0
     while True:
-        waiting = _unsettled(waiting, labels)
+        waiting, stray = _unsettled(waiting, labels)
         if waiting.limit(1).count() == 0:
             break
-        served_in += 1
-        drawn = [
-            F.min_by("rep", F.xxhash64("rep", F.lit(served_in * CENTRES + i))).alias(f"c{i}") for i in range(CENTRES)
-        ]
-        chosen = waiting.groupBy("bucket").agg(*drawn).select(
-            "bucket", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)]))).alias("centre")
-        )
-        chosen = stored(chosen, "centres")
-        home = labels.select(F.col("node").alias("centre"), F.col("component").alias("centre_component"))
-        named = chosen.join(home, "centre", "left").withColumn(
-            "centre_component", F.coalesce("centre_component", "centre")
+        turn += 1
+        # All members outside the bucket's largest component serve, or by hash about CENTRES of them.
+        chosen = stored(
+            stray.filter(F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("strays") / CENTRES).cast("bigint")) == 0).select(
+                "bucket", F.col("rep").alias("centre"), F.col("component").alias("home")
+            ),
+            "centres",
         )
         pairs = (
-            waiting.join(named, "bucket")
-            .filter("component <> centre_component")
-            .select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))
+            waiting.join(chosen, "bucket")
+            .filter("component <> home")
+            .select(
+                F.greatest("rep", "centre").alias("a"),
+                F.least("rep", "centre").alias("b"),
+            )
             .dropDuplicates()
+            .join(sizes.select(F.col("x").alias("a"), F.col("size").alias("n_a")), "a")
         )
-        pairs = pairs.join(sizes.select(F.col("x").alias("a"), F.col("size").alias("n_a")), "a")
         more = stored(tested(pairs).filter("ok").select("a", "b"), "links")
-        seen.append(more)
         waiting = stored(
-            waiting.join(chosen.withColumnRenamed("centre", "rep"), ["bucket", "rep"], "left_anti").drop("component"),
+            waiting.join(chosen.select("bucket", F.col("centre").alias("rep")), ["bucket", "rep"], "left_anti").drop("component"),
             "waiting",
         )
         if more.limit(1).count():
@@ -295,13 +293,21 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def _unsettled(waiting: DataFrame, labels: DataFrame) -> DataFrame:
-    """The waiting members, with their components, of buckets where these are several."""
+def _unsettled(waiting: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The waiting members, with components, of buckets where these are several; and those of them outside
+    the bucket's largest component, with their number in the bucket (strays)."""
     named = waiting.join(labels, waiting["rep"] == labels["node"], "left").select(
         "bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")
     )
-    several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return stored(named.join(several.select("bucket"), "bucket", "left_semi"), "waiting")
+    per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    several = per.groupBy("bucket").agg(
+        F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.count("*").alias("kinds")
+    )
+    several = several.filter("kinds > 1").select(
+        "bucket", F.col("largest.component").alias("most"), (F.col("all") - F.col("largest.n")).alias("strays")
+    )
+    rows = stored(named.join(several, "bucket"), "waiting")
+    return rows.drop("most", "strays"), rows.filter("component <> most")
 
 
 def _sets_of(texts: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFrame:
