@@ -200,6 +200,8 @@ def lessons(n: int = 1500, seed: int = 11) -> Iterator[tuple[str, list[tuple[int
                 parts += [("", f"{number(4)}-{number(2)}-{number(2)}", "none")]
             if rng.random() < 0.3:
                 parts += [("", f"{number(3)} {number(3)} {number(4)}", "none")]
+            if rng.random() < 0.3:
+                parts += [("", f"{number(3)}-{number(3)}-{number(4)}", "none")]
         text, marks = "", []
         for lead, body, label in parts:
             text += " ".join(rng.choice(filler) for _ in range(rng.randint(2, 12))) + " " + lead
