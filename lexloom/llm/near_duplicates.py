@@ -326,3 +326,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` without the rows whose document repeats a kept one."""
     gone = group(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).dropDuplicates()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
+def sql() -> str:
+    """The result of ``group`` in DuckDB SQL: an exact self-join on shingles, and reachability by recursion."""
+    return rf"""
+WITH RECURSIVE word AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+gram AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM word),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE {OF} * c >= {SHARE} * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, root FROM reach JOIN both_ways ON x = reach.doc_id),
+least AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, d.doc_id = root AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN size USING (doc_id)"""

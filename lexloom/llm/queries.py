@@ -37,4 +37,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licences.sql()}
+    return {
+        "op1_license_scan": licences.sql(),
+        "op4_near_duplicates": near_duplicates.sql(),
+        "op10_secret_scan": secrets.sql(),
+    }

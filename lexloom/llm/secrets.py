@@ -173,3 +173,37 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     if "n_chars" in schema:
         out = out.withColumn("n_chars", F.when(F.size("__hide") > 0, F.length(text_col).cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*schema)
+
+
+def sql() -> str:
+    """The result of ``digest`` in DuckDB SQL."""
+    kinds = (
+        (ASSIGN, "assign", 1, 8),
+        (ACCESS, "access", 0, 16),
+        (HEX, "hex", 0, 1),
+        (ACCOUNT, "account", 0, 1),
+        (ENDPOINT, "endpoint", 0, 1),
+        (HINTED, "hinted", 0, 1),
+    )
+    parts = []
+    for pattern, kind, group, _ in kinds:
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"SELECT doc_id, '{kind}' AS kind, {ORDER[kind]} AS o, unnest(list_transform(range(1, len(h) + 1), lambda i: struct_pack("
+            f"s := list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0), h := h[i], q := q[i]))) AS m "
+            f"FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS h, regexp_extract_all(text, {p}, {group}) AS q, regexp_split_to_array(text, {p}) AS g FROM documents) WHERE len(h) > 0"
+        )
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, kind, o, CAST(m.s AS BIGINT) AS s, CAST(m.s + length(m.h) AS BIGINT) AS e FROM ({part}) WHERE length(m.q) >= {least}"
+        for part, (_, _, _, least) in zip(parts, kinds, strict=True)
+    )
+    base, secret = "('assign', 'access', 'hex')", "('assign', 'hex', 'hinted')"
+    text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e)"
+    return f"""
+WITH part AS ({found}),
+linked AS (SELECT * FROM part x WHERE kind IN {base} OR EXISTS (SELECT 1 FROM part y WHERE y.doc_id = x.doc_id AND (y.kind IN {secret}) <> (x.kind IN {secret})
+ AND CASE WHEN (y.s, y.o, y.e) < (x.s, x.o, x.e) THEN x.s - y.e ELSE y.s - x.e END <= {SCOPE})),
+per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+ {text} FILTER (kind IN {base}) AS base, {text} AS spans FROM linked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN per USING (doc_id)"""
