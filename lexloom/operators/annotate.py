@@ -41,18 +41,19 @@ def analyse(words: DataFrame, lexicon: Lexicon) -> DataFrame:
         forms.select(F.regexp_replace("headword", "m$", "ṃ").alias("headword"))
     )
     order = listed.withColumn("rank", F.col("o") * candidates.MOST + F.col("rank")).drop("o")
-    hit = candidates.first_hit(order, forms.unionByName(swapped))
+    # Distinct words only, so these tables are small beside the text; each is read several times below.
+    hit = candidates.first_hit(order, forms.unionByName(swapped)).persist()
     found = lookup.root_lookup(hit.select(F.col("cand").alias("w")).distinct(), lexicon.form_index, lexicon.paradigm)
     found = lookup.expand_models(found, lexicon.type_map).withColumnRenamed("w", "cand")
     by_form = hit.join(found, "cand").select(
         "w", "stem", "model", "analyses", "cells", "path", F.when(F.col("kind_ord") == 0, "noun").otherwise("verb").alias("source"),
         F.struct("kind_ord", "ord", "model", "stem").alias("o"),
-    )
+    ).persist()
     rest = words.join(by_form.select("w").distinct(), "w", "left_anti")
     heads = lexicon.dict_entry.select("headword").distinct()
     exact = rest.join(heads, rest["w"] == heads["headword"]).select("w", F.col("headword").alias("stem"))
     left = rest.join(exact.select("w"), "w", "left_anti")
-    cut = segment.segment_greedy(left, heads).filter(F.size("parts") > 0).select("w", F.posexplode("parts").alias("n", "stem"))
+    cut = segment.segment_greedy(left, heads).filter(F.size("parts") > 0).select("w", F.posexplode("parts").alias("n", "stem")).persist()
     missing = left.join(cut.select("w").distinct(), "w", "left_anti").select("w", F.col("w").alias("stem"))
 
     def plain(df: DataFrame, source: str, n) -> DataFrame:
@@ -81,7 +82,7 @@ def annotate(docs: DataFrame, lexicon: Lexicon, mode: str = "detailed", dicts: l
         raise ValueError(f"mode is one of {MODES}")
     tokens = surface_tokens(docs)
     # Frequent words are analysed once: the join back is the only step that sees every token.
-    known = analyse(tokens.select(F.col("surface").alias("w")).distinct(), lexicon)
+    known = analyse(tokens.select(F.col("surface").alias("w")).distinct().persist(), lexicon)
     rows = tokens.join(known, tokens["surface"] == known["w"]).drop("w").withColumn("found", F.col("source") != "miss")
     rows = rows.withColumn("stem", F.replace("stem", F.lit("-"), F.lit("")))
     if mode == "roots":
