@@ -2,9 +2,9 @@
 
 Documents are tokenised, closed with one end id, and cut into pieces of at most the sequence length.
 Only the number of pieces of each length (at most as many rows as the sequence is long, whatever the
-input) is planned: from the longest length down, single, pair and triple sums that exactly fill the gap
-are taken from the counts for as many sequences as the counts allow at once; what no sum fills goes, by
-descending length, to the open sequences with the least room that is enough.  The plan is a list of
+input) is planned: single, then pair, then triple sums that exactly fill a piece's gap are taken from the
+counts for as many sequences as the counts allow at once; what no sum fills goes, by descending length,
+to the open sequences with the least room that is enough.  The plan is a list of
 patterns with multiplicities.  A piece finds its place from its number among the pieces of its length,
 counted per partition and offset by prefix sums, so no length, however common, meets in one task.
 
@@ -131,58 +131,62 @@ Plan = list[tuple[tuple[int, ...], int]]
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> Plan:
-    """Patterns of lengths, each with the number of sequences that hold it; all pieces are placed once."""
-    left = dict(counts)
-    live = sorted(x for x, n in left.items() if n)
-    out: Plan = []
+    """Patterns of lengths, each with the number of sequences that hold it; all pieces are placed once.
 
-    def take(pattern: tuple[int, ...]) -> None:
-        n = min(left[x] // pattern.count(x) for x in set(pattern))
-        out.append((pattern, n))
-        for x in pattern:
-            left[x] -= n
-        for x in set(pattern):
-            if not left[x]:
-                live.pop(bisect_left(live, x))
-
-    rest: list[tuple[int, int]] = []
-    while live:
-        top = live[-1]
-        sums = _filling(left, live, top, limit - top)
-        if sums is None:  # nothing fills it exactly: left to best fit
-            rest.append((top, left[top]))
-            left[top] = 0
-            live.pop()
-        else:
-            take((top, *sums))
-    return out + best_fit(rest, limit)
-
-
-def _filling(left: dict[int, int], live: list[int], top: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to ``gap``, besides the piece of length ``top``."""
-    have = dict.fromkeys(live, True)
+    Sums of one, of up to two and of up to three pieces are tried as far as they go, each with best fit
+    for the rest, and the plan of fewest sequences is kept: planning sees counts only, so trying is cheap.
+    """
+    return min((_planned(counts, limit, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+
+
+def _planned(counts: dict[int, int], limit: int, most: int) -> Plan:
+    """All single sums first, from the longest length down, then all pairs, then all triples; then best fit."""
+    left = {x: n for x, n in counts.items() if n}
+    live = sorted(left)
+    out: Plan = []
+    for parts in range(most + 1):
+        half = bisect_left(live, limit // 2 + 1)
+        # Pairs and triples go first to lengths just over half, which would waste most; then to shorter ones.
+        for top in live[::-1] if parts < 2 else live[half:] + live[:half][::-1]:
+            while left.get(top):
+                sums = _filling(left, live, top, limit - top, parts)
+                if sums is None:
+                    break
+                pattern = (top, *sums)
+                n = min(left[x] // pattern.count(x) for x in set(pattern))
+                out.append((pattern, n))
+                for x in pattern:
+                    left[x] -= n
+                for x in set(pattern):
+                    if not left[x]:
+                        live.pop(bisect_left(live, x))
+                        del left[x]
+    return out + best_fit(sorted(left.items()), limit)
+
+
+def _filling(left: dict[int, int], live: list[int], top: int, gap: int, parts: int) -> tuple[int, ...] | None:
+    """So many available lengths that sum to ``gap``, besides the piece of length ``top``; none for a gap of 0."""
 
     def enough(*xs: int) -> bool:
         return all(left.get(x, 0) >= xs.count(x) + (x == top) for x in xs)
 
-    if gap == 0:
-        return ()
-    if gap in have and enough(gap):
-        return (gap,)
+    if parts == 0 or gap == 0:
+        return () if gap == parts == 0 else None
+    if parts == 1:
+        return (gap,) if enough(gap) else None
     below = live[: bisect_left(live, gap)]
     for a in reversed(below):
-        if 2 * a < gap:
-            break
-        if gap - a in have and enough(a, gap - a):
-            return (a, gap - a)
-    for a in reversed(below):
-        if 3 * a < gap:
+        if parts * a < gap:
             break
+        if parts == 2:
+            if enough(a, gap - a):
+                return (a, gap - a)
+            continue
         for b in reversed(below[: bisect_left(below, min(a, gap - a - 1) + 1)]):
             c = gap - a - b
             if c > b:
                 break
-            if c in have and enough(a, b, c):
+            if enough(a, b, c):
                 return (a, b, c)
     return None
 
