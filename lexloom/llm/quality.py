@@ -23,14 +23,18 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: (name, column that measures, votes good up to, votes bad from, whether large is bad).
 RULES = (
-    ("length", "n_words", 50, 12, False),
+    ("length", "n_words", 50, 9, False),
     ("symbols", "symbols_per_word", 0.02, 0.2, True),
     ("lines", "dup_line_share", 0.0, 0.3, True),
     ("repeats", "repeat_share", 0.02, 0.15, True),
     ("word_size", "odd_word_size", 1.0, 4.0, True),
     ("shouting", "caps_share", 0.12, 0.5, True),
 )
-EM_ROUNDS, PRIOR_GOOD, PRIOR_RIGHT, PRIOR_WEIGHT = 40, 0.8, 0.85, 20.0
+EM_ROUNDS, PRIOR_GOOD, PRIOR_WEIGHT = 40, 0.8, 20.0
+#: A rule is made to be right about good documents, nearly always; but a bad one shows few of all faults.
+#: The bounds hold the estimates to that: unbounded, EM takes one common fault for the class of bad documents.
+PRIOR_RIGHT = (0.99, 0.2)
+RIGHT_WITHIN = ((0.99, 0.999), (0.02, 0.99))
 KEEP_FROM = 0.5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -119,13 +123,15 @@ def voted(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float]]]:
+def estimate(
+    patterns: list[tuple[tuple[int, ...], int]], within: tuple[tuple[float, float], ...] = RIGHT_WITHIN
+) -> tuple[float, list[tuple[float, float]]]:
     """Share of good documents, and each rule's accuracy on good and on bad ones, by EM.
 
     ``patterns``: every combination of votes that occurs, with its number of rows.  The prior counts
-    as PRIOR_WEIGHT rows a rule and class, and keeps a rule from turning against its own meaning.
+    as PRIOR_WEIGHT rows a rule and class; ``within`` bounds the accuracies on good and on bad documents.
     """
-    good, right = PRIOR_GOOD, [(PRIOR_RIGHT, PRIOR_RIGHT)] * len(RULES)
+    good, right = PRIOR_GOOD, [PRIOR_RIGHT] * len(RULES)
     for _ in range(EM_ROUNDS):
         total = mass = 0.0
         hits = [[0.0, 0.0, 0.0, 0.0] for _ in RULES]
@@ -143,7 +149,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[t
         good = min(0.99, max(0.01, mass / total))
         right = [
             tuple(
-                min(0.99, max(0.51, (h[k] + PRIOR_WEIGHT * PRIOR_RIGHT) / (h[k + 1] + PRIOR_WEIGHT))) for k in (0, 2)
+                min(most, max(least, (h[2 * k] + PRIOR_WEIGHT * PRIOR_RIGHT[k]) / (h[2 * k + 1] + PRIOR_WEIGHT)))
+                for k, (least, most) in enumerate(within)
             )
             for h in hits
         ]

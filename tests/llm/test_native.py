@@ -108,11 +108,23 @@ def test_em_finds_the_accuracies():
             0 if rng.random() < 0.2 else (1 if good else -1) * (1 if rng.random() < a[0 if good else 1] else -1) for a in right
         )
         counts[votes] = counts.get(votes, 0) + 1
-    share, found = quality.estimate(sorted(counts.items()))
+    share, found = quality.estimate(sorted(counts.items()), ((0.6, 0.999), (0.02, 0.99)))
     assert abs(share - 0.7) < 0.05
     assert all(abs(x - y) < 0.08 for a, b in zip(found, right, strict=True) for x, y in zip(a, b, strict=True))
 
 
+def test_one_clear_fault_is_enough(spark):
+    rng = random.Random(3)
+
+    def prose():
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(rng.randint(40, 120)))
+
+    rows = [(i, prose()) for i in range(300)] + [(1000 + i, prose().replace(" ", "$$$ ")) for i in range(15)]
+    rows += [(2000 + i, "\n".join([prose()] * 4)) for i in range(20)]
+    kept = {r["doc_id"] for r in quality.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["kept"]}
+    assert kept == set(range(300))
+
+
 def test_clashing_columns_pass_through(docs):
     assert quality.keep_good(docs.select("doc_id", "text", F.col("kept").alias("source"))).columns == ["doc_id", "text", "source"]
 
