@@ -116,8 +116,9 @@ def dict_search(spark, words: list[str], lexicon: Lexicon, *dicts: str) -> DataF
 
 
 def register(spark) -> None:
-    """The text functions as SQL functions: lex_detect, lex_normalise."""
+    """Register the SQL function lex_truncate, and the transliterator as lex_convert(text, source, target)."""
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION lex_truncate(t STRING) RETURNS STRING RETURN {_sql_truncate()}")
+    spark.udf.register("lex_convert", translit._convert)
 
 
 def _sql_truncate(most: int = 100) -> str:

@@ -108,16 +108,34 @@ def root_cascade(words: DataFrame, heads: DataFrame) -> DataFrame:
     return first_hit(listed, heads)
 
 
-def rejoin_pairs(segments: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
-    """Segments that are joining prefixes, with the joined spelling that is a headword.
+#: Endings of the neuter abstract noun in -tva.
+ABSTRACT = ["tv" + end for end in "a am e āni ena ābhyām aiḥ āya ebhyaḥ āt asya ayoḥ ānām eṣu".split()]
+
+
+def suffix_strip(words: DataFrame, suffixes: DataFrame, heads: DataFrame, longest: int = 8) -> DataFrame:
+    """w, base, suffix: the longest suffix (relation suffix) that leaves a headword."""
+    ends = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.right("w", n))
+    keyed = words.select("w", F.explode(F.array_distinct(ends)).alias("suffix")).join(suffixes, "suffix")
+    cut = keyed.filter("length(w) > length(suffix)").withColumn("base", F.expr("left(w, length(w) - length(suffix))"))
+    hits = cut.join(heads.select(F.col("headword").alias("base")).distinct(), "base")
+    return hits.groupBy("w").agg(F.max_by(F.struct("base", "suffix"), F.length("suffix")).alias("x")).select("w", "x.*")
+
+
+def rejoin_pairs(
+    segments: DataFrame, heads: DataFrame, keys: list[str], joining: list[str] | None = None, spelled: dict | None = None
+) -> DataFrame:
+    """Segments that are joining prefixes, with the first joined spelling that is a headword.
 
     ``segments``: ``keys``, pos and w.
     """
     from pyspark.sql import Window
 
+    joining = rules.JOINING if joining is None else joining
+    spelled = rules.JOINED_SPELLINGS if spelled is None else spelled
+
     after = segments.withColumn("after", F.lead("w").over(Window.partitionBy(*keys).orderBy("pos")))
-    spellings = F.create_map(*[x for p in rules.JOINING for x in (F.lit(p), F.array(*[F.lit(s) for s in rules.JOINED_SPELLINGS.get(p, [p])]))])
-    tries = after.filter(F.col("w").isin(rules.JOINING) & F.col("after").isNotNull()).select(
+    spellings = F.create_map(*[x for p in joining for x in (F.lit(p), F.array(*[F.lit(s) for s in spelled.get(p, [p])]))])
+    tries = after.filter(F.col("w").isin(joining) & F.col("after").isNotNull()).select(
         *keys, "pos", "w", "after", F.posexplode(F.try_element_at(spellings, F.col("w"))).alias("step", "spelling")
     )
     joined = tries.withColumn("joined", F.concat("spelling", "after")).join(heads.select(F.col("headword").alias("joined")).distinct(), "joined")

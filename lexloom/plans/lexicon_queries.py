@@ -191,17 +191,16 @@ def chosen(spark, d):
     return both.select("w", F.array_join(segment.hybrid(F.col("a"), va, F.col("b"), vb), "+").alias("split"))
 
 
+SUFFIXES = ["ing", "tion", "ed", "er", "ly", "nd"]
+
+
 def rejoined(spark, d):
     toks = turns(spark, d).select("conv_id", "turn", F.posexplode(text.letters(T())).alias("pos", "w"))
-    after = F.lead("w").over(_turn())
-    pairs = toks.withColumn("after", after).filter(W().isin(PREFIXES)).withColumn("joined", F.concat("w", "after"))
-    return pairs.join(heads(spark, d).withColumnRenamed("headword", "joined"), "joined").select("conv_id", "turn", "pos", "joined")
-
+    return candidates.rejoin_pairs(toks, heads(spark, d), ["conv_id", "turn"], PREFIXES, {}).select("conv_id", "turn", "pos", "joined")
 
-def _turn():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("conv_id", "turn").orderBy("pos")
+def stripped(spark, d):
+    return candidates.suffix_strip(words(spark, d), spark.createDataFrame([(x,) for x in SUFFIXES], "suffix string"), heads(spark, d))
 
 
 def names(spark, d):
@@ -245,6 +244,7 @@ def queries():
         "root_cascade": cascade,
         "root_cascade_full": lambda s, d: candidates.root_cascade(words(s, d), heads(s, d)).select("w", "rank", "cand"),
         "prefix_rejoin": rejoined,
+        "suffix_strip": stripped,
         "split_score": split_scores,
         "split_all_known": known_splits,
         "longest_prefix": lambda s, d: segment.longest_prefix(words(s, d), heads(s, d)),
@@ -300,6 +300,7 @@ def oracle_sql():
         "prefix_strip": f"WITH {WORDS}, {PREFIX_SQL} {STRIPPED}",
         "root_cascade": CASCADE_ROOT,
         "prefix_rejoin": f"WITH {E}, t AS (SELECT conv_id, turn, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS w FROM (SELECT conv_id, turn, {LETTERS} AS l FROM conversations)), a AS (SELECT *, w || lead(w) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS joined FROM t) SELECT conv_id, turn, pos, joined FROM a SEMI JOIN heads ON joined = headword WHERE w IN {sql_in(PREFIXES)}",
+        "suffix_strip": f"{EW}, sx(suffix) AS (VALUES {', '.join(f"('{x}')" for x in SUFFIXES)}), c AS (SELECT w, left(w, length(w) - length(suffix)) AS base, suffix FROM wordlist JOIN sx ON w LIKE '%' || suffix WHERE length(w) > length(suffix)) SELECT w, base, suffix FROM c WHERE base IN (SELECT headword FROM heads) QUALIFY row_number() OVER (PARTITION BY w ORDER BY length(suffix) DESC) = 1",
         "split_score": f"{SCORED} SELECT w, i, score FROM sc",
         "split_all_known": f"{EW}, {CUTS} SELECT w, CAST(sum(CAST(first IN (SELECT headword FROM heads) AND rest IN (SELECT headword FROM heads) AS INT)) AS BIGINT) AS n_known FROM cut WHERE length(w) <= 8 AND rest <> '' GROUP BY w",
         "longest_prefix": f"{EW}, c AS (SELECT w, left(w, i) AS first FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM wordlist WHERE length(w) > 1)) SELECT w, max_by(first, length(first)) AS first FROM c SEMI JOIN heads ON first = headword GROUP BY w",
