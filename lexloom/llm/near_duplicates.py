@@ -32,7 +32,7 @@ SHARE, OF = 80, 100
 #: Bits of a shingle's hash that are kept; the others hold a document's place in its cut.
 BITS = 48
 #: About as many centres a bucket and round, after the first, at most.
-CENTRES = 64
+CENTRES = 256
 #: From this level on, permutations are kept as rows and not as lists of swaps.
 ROWS_FROM = 6
 
@@ -148,19 +148,16 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
+        k1, k2 = (np.asarray(batch.column(i)) for i in (2, 3))
         for a, b in cuts(texts):
             sets, counts = shingle_sets(texts[a:b])
             ends = np.cumsum(counts)
             packed = [sets[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(a, b - a),
-                    pa.array(_sums(sets, counts, 0x1B873593).view(np.int64)),
-                    pa.array(_sums(sets, counts, 0x7FEB352D).view(np.int64)),
-                    pa.array(packed, pa.binary()),
-                ],
-                names=["rep", "k1", "k2", "shingles"],
+            own = (_sums(sets, counts, 0x1B873593).view(np.int64) == k1[a:b]) & (
+                _sums(sets, counts, 0x7FEB352D).view(np.int64) == k2[a:b]
             )
+            made = pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(packed, pa.binary())], names=["rep", "shingles"])
+            yield made.filter(pa.array(own))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -185,31 +182,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours to the smallest one, until only stars are left.  Both use minima and joins, so a node
     with any number of neighbours stays spread over tasks.
     """
-    pairs = stored(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").dropDuplicates(), "graph"
-    )
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
+    before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").dropDuplicates()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(small_least, "u")
-        after = stored(
-            star.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v")
-            .filter("u <> v")
-            .dropDuplicates(),
-            "graph",
-        )
-        nodes = after.agg(
-            F.count("*").alias("n"), F.countDistinct("u").alias("u")
-        ).first()
-        chained = after.join(after.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
-        drop_stored(pairs)
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        star = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        after = stored(star.select(ends.alias("x")).select("x.u", "x.v").filter("u <> v").dropDuplicates(), "graph")
+        # Nothing moves any more once count and digest of the edges stay.
+        digest = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if before is not None:
+            drop_stored(pairs)
         pairs = after
-        if not chained and nodes["n"] == nodes["u"]:
+        if digest == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        before = digest
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,26 +213,23 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
         "classes",
     )
-    members = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"))
-    centres = centres.filter("centre <> last").select("bucket", "centre")
+    members = classes.select("rep", "n_shingles", "k1", "k2", F.explode("bands").alias("bucket"))
+    centres = members.groupBy("bucket").agg(F.min(F.struct("rep", "n_shingles")).alias("c"), F.max("rep").alias("last"))
+    centres = centres.filter("c.rep <> last").select("bucket", F.col("c.rep").alias("centre"), F.col("c.n_shingles").alias("n_centre"))
     shared = stored(members.join(centres, "bucket"), "buckets")  # buckets of two members or more
-    sizes = classes.select(F.col("rep").alias("x"), F.col("n_shingles").alias("size"))
-    sets = _sets_of(texts, shared, classes)
+    sets = _sets_of(texts, shared)
 
     def tested(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, n_a), tested on full sets; those whose sizes differ too much fail at once."""
-        fit = pairs.join(sizes, pairs["b"] == sizes["x"]).filter(
-            f"{OF} * least(n_a, size) >= {SHARE} * greatest(n_a, size)"
-        )
-        first = fit.select("a", "b").join(sets.withColumnRenamed("shingles", "sa"), F.col("a") == F.col("rep")).drop("rep")
+        """The distinct pairs (a, b), tested on full sets; those whose sizes differ too much fail at once."""
+        fit = pairs.filter(f"{OF} * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)").select("a", "b").dropDuplicates()
+        first = fit.join(sets.withColumnRenamed("shingles", "sa"), F.col("a") == F.col("rep")).drop("rep")
         both = first.join(sets.withColumnRenamed("shingles", "sb"), F.col("b") == F.col("rep"))
         return both.select("a", "b", "sa", "sb").mapInArrow(_tested, "a long, b long, ok boolean")
 
     stars = shared.filter("rep <> centre").select(
-        F.col("rep").alias("a"), F.col("centre").alias("b"), F.col("n_shingles").alias("n_a")
+        F.col("rep").alias("a"), F.col("centre").alias("b"), F.col("n_shingles").alias("n_a"), F.col("n_centre").alias("n_b")
     )
-    links = stored(tested(stars.dropDuplicates()).filter("ok").select("a", "b"), "links")
+    links = stored(tested(stars).filter("ok").select("a", "b"), "links")
     labels = components(links)
     # Members that have not served as a centre, of buckets where these lie in several components.
     waiting = shared.filter("rep <> centre").select("bucket", "rep", "n_shingles")
@@ -256,19 +242,14 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         # All members outside the bucket's largest component serve, or by hash about CENTRES of them.
         chosen = stored(
             stray.filter(F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("strays") / CENTRES).cast("bigint")) == 0).select(
-                "bucket", F.col("rep").alias("centre"), F.col("component").alias("home")
+                "bucket", F.col("rep").alias("centre"), F.col("component").alias("home"), F.col("n_shingles").alias("n_b")
             ),
             "centres",
         )
         pairs = (
             waiting.join(chosen, "bucket")
             .filter("component <> home")
-            .select(
-                F.greatest("rep", "centre").alias("a"),
-                F.least("rep", "centre").alias("b"),
-            )
-            .dropDuplicates()
-            .join(sizes.select(F.col("x").alias("a"), F.col("size").alias("n_a")), "a")
+            .select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"), F.col("n_shingles").alias("n_a"), "n_b")
         )
         more = stored(tested(pairs).filter("ok").select("a", "b"), "links")
         waiting = stored(
@@ -310,16 +291,14 @@ def _unsettled(waiting: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     return rows.drop("most", "strays"), rows.filter("component <> most")
 
 
-def _sets_of(texts: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """rep, shingles: the full sets of the representatives that share a bucket."""
-    wanted = shared.select("rep").dropDuplicates()
-    made = texts.join(wanted, texts["doc_id"] == wanted["rep"], "left_semi").mapInArrow(
-        _as_sets, "rep long, k1 long, k2 long, shingles binary"
-    )
-    # A doc_id may stand on several rows; the class's own set is the one with its digest.
-    return stored(
-        made.join(classes.select("rep", "k1", "k2"), ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep"]), "sets"
-    ).select("rep", "shingles")
+def _sets_of(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """rep, shingles: the full sets of the representatives that share a bucket.
+
+    A doc_id may stand on several rows; the class's own set is the one with its digest.
+    """
+    wanted = shared.select("rep", "k1", "k2").dropDuplicates(["rep"])
+    rows = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text", "k1", "k2")
+    return stored(rows.mapInArrow(_as_sets, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
