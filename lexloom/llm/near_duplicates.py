@@ -6,7 +6,8 @@ members are tested against a centre (the smallest id), on full sets.  A bucket w
 lie in several components goes on: members outside its largest component serve as centres, some a round
 and bucket, until all members that never served lie in one component.  So every pair of a bucket that
 could join two components is tested, while a bucket of one group of copies costs a single star, however
-large it is.  Two sets at the threshold miss all buckets with a probability of 5e-6.
+large it is.  Two sets at the threshold miss all buckets with a probability of 5e-6; in later rounds a
+one-bit sketch rules out pairs far below it, and one at it with a probability of 3e-6.
 
 Defined cases: texts that are null, empty or without words have an empty set and are linked with
 nothing; rows with a null doc_id are linked with nothing and kept; rows of equal doc_id are one node of
@@ -27,12 +28,15 @@ from .common import drop_stored, stored
 
 BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
+SKETCH = ("s0", "s1", "s2", "s3")
 #: Similarity that links, as a fraction.
 SHARE, OF = 80, 100
 #: Bits of a shingle's hash that are kept; the others hold a document's place in its cut.
 BITS = 48
 #: About as many centres a bucket and round, after the first, at most.
 CENTRES = 256
+#: Bits in which the one-bit sketches of a pair at the threshold differ, at most: 4.5 deviations above the mean.
+DIFFER = 45
 #: From this level on, permutations are kept as rows and not as lists of swaps.
 ROWS_FROM = 6
 
@@ -116,6 +120,12 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """One bit of each slot, in four longs: equal slots have equal bits, others half of the time."""
+    bits = (signatures & np.uint32(1)).astype(np.int64).reshape(len(signatures), 4, SLOTS // 4)
+    return bits @ (np.int64(1) << np.arange(SLOTS // 4, dtype=np.int64))
+
+
 def _sums(sets: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
     total = np.zeros(len(sets) + 1, np.uint64)
     np.cumsum(mix(sets + np.uint64(seed)), out=total[1:])
@@ -130,8 +140,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets, counts = shingle_sets(texts[a:b])
             has = np.flatnonzero(counts)
             keys = np.zeros((b - a, BANDS), np.uint64)
+            short = np.zeros((b - a, 4), np.int64)
             if len(has):
-                keys[has] = band_keys(super_minhash(sets, counts[has]))
+                signatures = super_minhash(sets, counts[has])
+                keys[has], short[has] = band_keys(signatures), sketches(signatures)
             offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -140,8 +152,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(_sums(sets, counts, 0x1B873593).view(np.int64)),
                     pa.array(_sums(sets, counts, 0x7FEB352D).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].reshape(-1).view(np.int64))),
+                    *[pa.array(np.ascontiguousarray(short[:, i])) for i in range(4)],
                 ],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands"],
+                names=["doc_id", "n_shingles", "k1", "k2", "bands", "s0", "s1", "s2", "s3"],
             )
 
 
@@ -205,12 +218,12 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(
-        texts.mapInArrow(_signed, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures"
+        texts.mapInArrow(_signed, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"), "signatures"
     )
     classes = stored(
         signed.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("n_shingles", "k1", "k2")
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *[F.first(x).alias(x) for x in SKETCH]),
         "classes",
     )
     members = classes.select("rep", "n_shingles", "k1", "k2", F.explode("bands").alias("bucket"))
@@ -233,29 +246,30 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     labels = components(links)
     # Members that have not served as a centre, of buckets where these lie in several components.
     waiting = shared.filter("rep <> centre").select("bucket", "rep", "n_shingles")
+    short = classes.select("rep", *SKETCH)
     turn = 0
     while True:
-        waiting, stray = _unsettled(waiting, labels)
-        if waiting.limit(1).count() == 0:
+        rows = _unsettled(waiting, labels, short)
+        if rows.limit(1).count() == 0:
             break
         turn += 1
-        # All members outside the bucket's largest component serve, or by hash about CENTRES of them.
-        chosen = stored(
-            stray.filter(F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("strays") / CENTRES).cast("bigint")) == 0).select(
-                "bucket", F.col("rep").alias("centre"), F.col("component").alias("home"), F.col("n_shingles").alias("n_b")
-            ),
-            "centres",
-        )
-        pairs = (
-            waiting.join(chosen, "bucket")
-            .filter("component <> home")
-            .select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"), F.col("n_shingles").alias("n_a"), "n_b")
-        )
-        more = stored(tested(pairs).filter("ok").select("a", "b"), "links")
-        waiting = stored(
-            waiting.join(chosen.select("bucket", F.col("centre").alias("rep")), ["bucket", "rep"], "left_anti").drop("component"),
-            "waiting",
-        )
+        stray = rows.filter("component <> most")
+        if turn == 1:
+            # A member of the largest component, drawn anew in every bucket, takes in what is near its rim.
+            drawn = F.min_by(F.struct("rep", "component", "n_shingles", *SKETCH), F.xxhash64("rep", "bucket"))
+            chosen = rows.filter("component = most").groupBy("bucket").agg(drawn.alias("c")).select("bucket", "c.*")
+            asked = stray
+        else:
+            # All members outside the bucket's largest component serve, or by hash about CENTRES of them.
+            part = F.ceil(F.col("strays") / CENTRES).cast("bigint")
+            chosen = stored(stray.filter(F.pmod(F.xxhash64("rep", F.lit(turn)), part) == 0), "centres")
+            asked = rows
+        more = stored(tested(_crossing(asked, chosen)).filter("ok").select("a", "b"), "links")
+        if turn > 1:
+            waiting = stored(
+                rows.join(chosen.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n_shingles"),
+                "waiting",
+            )
         if more.limit(1).count():
             joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
             labels = components(joined.unionByName(more))
@@ -263,7 +277,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component")
     )
     return (
-        signed.drop("bands")
+        signed.select("doc_id", "n_shingles", "k1", "k2")
         .join(named, ["n_shingles", "k1", "k2"], "left")
         .select(
             "doc_id",
@@ -274,9 +288,9 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def _unsettled(waiting: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The waiting members, with components, of buckets where these are several; and those of them outside
-    the bucket's largest component, with their number in the bucket (strays)."""
+def _unsettled(waiting: DataFrame, labels: DataFrame, short: DataFrame) -> DataFrame:
+    """The waiting members, with components and sketches, of buckets where these are several; with the
+    bucket's largest component (most) and the number of members outside it (strays)."""
     named = waiting.join(labels, waiting["rep"] == labels["node"], "left").select(
         "bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")
     )
@@ -287,8 +301,28 @@ def _unsettled(waiting: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     several = several.filter("kinds > 1").select(
         "bucket", F.col("largest.component").alias("most"), (F.col("all") - F.col("largest.n")).alias("strays")
     )
-    rows = stored(named.join(several, "bucket"), "waiting")
-    return rows.drop("most", "strays"), rows.filter("component <> most")
+    return stored(named.join(several, "bucket").join(short, "rep"), "waiting")
+
+
+def _crossing(asked: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of members and centres of a bucket that lie in different components.
+
+    Size and sketch are part of the join: pairs that cannot be similar enough are never made.
+    """
+    centre = chosen.select(
+        F.col("bucket").alias("at"), F.col("rep").alias("centre"), F.col("component").alias("home"),
+        F.col("n_shingles").alias("n_b"), *[F.col(x).alias(f"c_{x}") for x in SKETCH],
+    )
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"c_{x}"))) for x in SKETCH), F.lit(0))
+    fits = (
+        (F.col("bucket") == F.col("at"))
+        & (F.col("component") != F.col("home"))
+        & (OF * F.least("n_shingles", "n_b") >= SHARE * F.greatest("n_shingles", "n_b"))
+        & (differ <= DIFFER)
+    )
+    return asked.join(centre, fits).select(
+        F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"), F.col("n_shingles").alias("n_a"), "n_b"
+    )
 
 
 def _sets_of(texts: DataFrame, shared: DataFrame) -> DataFrame:
