@@ -12,19 +12,17 @@ from . import candidates, lookup, records, segment
 MODES = ("detailed", "roots", "parts")
 
 
-def surface_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compat: bool = False) -> DataFrame:
-    """doc_id, pos, surface: the normalised words of each text, explicit splits taken apart."""
-    clean = text.preprocess(translit.to_iast(F.col(text_col)), compat=compat)
-    words = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(text.tokens(clean)).alias("p", "token"))
-    parts = words.select("doc_id", "p", F.posexplode(text.explicit_parts("token")).alias("q", "surface"))
-    numbered = F.row_number().over(_by_place())
-    return parts.select("doc_id", (numbered - 1).alias("pos"), "surface")
+def surface_tokens(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compat: bool = False, max_length: int | None = None
+) -> DataFrame:
+    """doc_id, pos, surface: the normalised words of each text, explicit splits taken apart.
 
-
-def _by_place():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("p", "q")
+    The whole text is read, unless ``max_length`` asks for its first characters only.
+    """
+    plain = translit.to_iast(F.col(text_col))
+    clean = text.normalise(plain, compat) if max_length is None else text.preprocess(plain, max_length, compat)
+    parts = F.flatten(F.transform(text.tokens(clean), text.explicit_parts))
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("pos", "surface"))
 
 
 def analyse(words: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -72,15 +70,17 @@ def analyse(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     return ranked.drop("o")
 
 
-def annotate(docs: DataFrame, lexicon: Lexicon, mode: str = "detailed", dicts: list[str] | None = None) -> DataFrame:
-    """Records of all documents (columns doc_id, text).
+def annotate(
+    docs: DataFrame, lexicon: Lexicon, mode: str = "detailed", dicts: list[str] | None = None, max_length: int | None = None
+) -> DataFrame:
+    """Records of all documents (columns doc_id, text), each read whole or up to ``max_length`` characters.
 
     detailed: a row an analysis, with dictionary entries where ``dicts`` asks for them; roots: one line
     of stems a document; parts: the component parts of each stem.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    tokens = surface_tokens(docs)
+    tokens = surface_tokens(docs, max_length=max_length)
     # Frequent words are analysed once: the join back is the only step that sees every token.
     known = analyse(tokens.select(F.col("surface").alias("w")).distinct().persist(), lexicon)
     rows = tokens.join(known, tokens["surface"] == known["w"]).drop("w").withColumn("found", F.col("source") != "miss")

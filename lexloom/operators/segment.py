@@ -14,7 +14,6 @@ from ..functions import rules, text
 
 #: Least score of an accepted first segment, and of a whole split.
 ACCEPT, ACCEPT_SPLIT = 0.6, 0.535
-LONGEST = 100
 
 
 def first_score(first: Column, rest: Column, known: Column, rest_known: Column, base_known: Column) -> Column:
@@ -69,10 +68,12 @@ def lattice(words: DataFrame, heads: DataFrame) -> DataFrame:
     """w, edges: array<struct<s, n, v>> of all pieces (two characters or more) that are headwords.
 
     A piece's last character may stand for another spelling; ``v`` is the headword.  One explode and one
-    join serve all words; words are cut at LONGEST characters by the normaliser.
+    join serve all words; pieces are no longer than the longest headword, so they are linear in a word's length.
     """
-    pieces = words.filter(F.length("w").between(2, LONGEST)).select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("s"))
-    pieces = pieces.select("w", "s", F.explode(F.sequence(F.lit(2), F.greatest(F.length("w") - F.col("s") + 1, F.lit(2)))).alias("n"))
+    longest = heads.agg(F.coalesce(F.max(F.length("headword")), F.lit(0))).scalar()
+    pieces = words.filter(F.length("w") >= 2).select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("s"))
+    most = F.least(F.length("w") - F.col("s") + 1, longest)
+    pieces = pieces.select("w", "s", F.explode(F.sequence(F.lit(2), F.greatest(most, F.lit(2)))).alias("n"))
     pieces = pieces.filter("s + n - 1 <= length(w)").withColumn("p", F.expr("substring(w, s, n)"))
     variants = F.create_map(*[x for k, vs in rules.VARIANTS.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in vs]))])
     others = F.transform(

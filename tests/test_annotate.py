@@ -44,6 +44,17 @@ def test_annotation(spark, lex):
         annotate.annotate(docs, lex, "nothing")
 
 
+def test_whole_documents_are_annotated(spark, lex):
+    compound = "dharmakṣetra" * 12
+    docs = spark.createDataFrame([(1, "xyz " * 200 + f"devau dharma-kṣetra {compound}")], "doc_id long, text string")
+    rows = annotate.annotate(docs, lex).collect()
+    assert [r["stem"] for r in rows if r["pos"] == 200] == ["deva"]
+    assert [(r["pos"], r["stem"]) for r in rows if r["pos"] in (201, 202)] == [(201, "dharma"), (202, "kṣetra")]
+    assert [r["stem"] for r in sorted((r for r in rows if r["surface"] == compound), key=lambda r: r["rank"])] == ["dharma", "kṣetra"] * 12
+    assert annotate.annotate(docs, lex, "roots").first()["roots"].startswith("xyz deva")
+    assert annotate.surface_tokens(docs, max_length=100).count() == 25
+
+
 def test_dictionary_search(spark, lex):
     got = {(r["w"], r["headword"], r["found"]) for r in annotate.dict_search(spark, ["deva", "kuru", "nope", "d%", "kṣ*"], lex).collect()}
     assert ("deva", "deva", True) in got and ("kuru", "kuru", True) in got  # the second from another dictionary
