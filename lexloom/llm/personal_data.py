@@ -3,15 +3,17 @@
 The patterns give the base spans.  The field decides about looser mentions (runs of digits with
 separators, words with an at sign, spelled-out addresses), which are the nodes of one graph a document;
 all other tokens cannot carry a label.  Neighbouring mentions share a chain potential, and each mention
-shares a skip potential with the next one of the same digits, the same last digits or the same address,
-however far away.  Loopy message passing then makes the labels of one entity agree over the document:
-a number written once as a telephone number is found again where it stands bare.
+shares a skip potential with an exact one of the same digits, the same last digits or the same address (or,
+where there is none, with the first mention), however far away.  Loopy message passing until the messages
+stand still then makes the labels of one entity agree over the document: a number written once as a
+telephone number is found wherever it stands bare, before or after.
 
 Trained here, piecewise, on generated sentences (``lessons``): node weights by softmax regression, edge
 potentials from the label pairs on chain and skip edges.
 
 Defined cases: a null text is empty and has no spans; equal rows get equal results; work and memory are
-linear in a text's mentions, as each one has at most three skip edges ahead.
+linear in a text's mentions, as each one has at most one skip edge a key; where messages swing for ever,
+their steps are halved again and again, so that they end.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ TELLING = {
     "email": ("mail", "email", "contact", "write", "correo", "courriel"),
     "none": ("order", "invoice", "isbn", "version", "ref", "no", "nr", "page", "id", "total", "serial"),
 }
-ROUNDS, DAMPING, KEEP_FROM = 12, 0.3, 0.6
+HALVE, STILL, DAMPING, KEEP_FROM = 50, 1e-5, 0.3, 0.6
 
 
 def luhn(digits: str) -> bool:
@@ -109,7 +111,7 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int
 
 
 def _keys(text: str) -> list[str]:
-    """What a later mention must share to be linked by a skip edge."""
+    """What two mentions must share to be linked by a skip edge."""
     spelled = _SPELLED.fullmatch(text)
     if spelled:
         return ["@" + re.sub(r"\x20?[\[(]dot[\])]\x20?", ".", f"{spelled[1]}@{spelled[2]}{spelled[3]}").lower()]
@@ -120,15 +122,30 @@ def _keys(text: str) -> list[str]:
 
 
 def edges(text: str, nodes: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between neighbouring mentions, and skip edges to the last one with a common key."""
+    """Chain edges between neighbouring mentions, and skip edges by common keys.
+
+    A loose mention is linked to the last exact one before it, else to the first exact one behind it; only one
+    without any is linked to the first such mention.  So no evidence of a key has more than two edges to go,
+    and loose repeats do not outvote an exact mention, however many there are.
+    """
     chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= CONTEXT]
-    last: dict[str, int] = {}
-    skip = set()
+    keyed: dict[str, list[int]] = {}
     for i, (s, e, _) in enumerate(nodes):
         for key in _keys(text[s:e]):
-            if key in last:
-                skip.add((last[key], i))
-            last[key] = i
+            keyed.setdefault(key, []).append(i)
+    skip, settled = set(), set()
+    for own in keyed.values():
+        exact = [i for i in own if nodes[i][2] != "none"]
+        hub = exact[0] if exact else None
+        for i in own:
+            if nodes[i][2] != "none":
+                hub = i
+            elif hub is not None:
+                skip.add((min(hub, i), max(hub, i)))
+                settled.add(i)
+    for own in keyed.values():
+        loose = [i for i in own if nodes[i][2] == "none" and i not in settled]
+        skip.update((loose[0], i) for i in loose[1:])
     return chain, sorted(skip)
 
 
@@ -238,7 +255,7 @@ def field() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def beliefs(nodes: np.ndarray, pairs: np.ndarray, potentials: np.ndarray) -> np.ndarray:
-    """Label probabilities by loopy message passing, damped.
+    """Label probabilities by loopy message passing, damped, until no message moves by more than STILL.
 
     ``nodes``: log scores; ``pairs``: the two nodes of every edge; ``potentials``: log matrix of each edge.
     """
@@ -251,13 +268,18 @@ def beliefs(nodes: np.ndarray, pairs: np.ndarray, potentials: np.ndarray) -> np.
     psi = np.exp(np.concatenate([potentials, potentials.transpose(0, 2, 1)]))
     back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
     sent = np.full((len(source), k), -np.log(k))
-    for _ in range(ROUNDS):
+    step, moved, rounds = 1 - DAMPING, np.inf, 0
+    while moved > STILL:
         total = nodes.copy()
         np.add.at(total, target, sent)
         x = total[source] - sent[back]
         y = np.log(np.einsum("eij,ei->ej", psi, np.exp(x - x.max(1, keepdims=True))) + 1e-300)
         y -= np.log(np.exp(y - y.max(1, keepdims=True)).sum(1, keepdims=True)) + y.max(1, keepdims=True)
-        sent = DAMPING * sent + (1 - DAMPING) * y
+        change = step * (y - sent)
+        sent = sent + change
+        moved, rounds = np.abs(change).max(), rounds + 1
+        if rounds % max(HALVE, 2 * n) == 0:  # a message on a tree has arrived by then
+            step /= 2
     total = nodes.copy()
     np.add.at(total, target, sent)
     out = np.exp(total - total.max(1, keepdims=True))
@@ -273,9 +295,11 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     if all(kind != "none" for _, _, kind in nodes):
         return base, base
     weights, chain, skip = field()
+    # Exact mentions are observed: no number of loose ones can change what they say.
+    observed = np.where(np.eye(len(LABELS)) > 0, 0.0, -np.inf)
     scores = np.stack(
         [
-            node_features(text, s, e) @ weights if kind == "none" else 30.0 * np.eye(len(LABELS))[LABELS.index(kind)]
+            node_features(text, s, e) @ weights if kind == "none" else observed[LABELS.index(kind)]
             for s, e, kind in nodes
         ]
     )

@@ -126,6 +126,21 @@ def test_labels_agree_over_a_document():
     assert personal_data.find(None) == personal_data.find("") == ([], [])
 
 
+def test_labels_agree_over_many_repeats():
+    bare, exact = "then the number 415 555 1234 again with words between here; ", "call +1 (415) 555-1234 now and wait a while; "
+    text = "so it is " + bare * 50 + exact + bare * 50
+    base, both = personal_data.find(text)
+    assert len(base) == 1 and [k for k, _, _ in both] == ["phone"] * 101
+    assert personal_data.find("so it is " + bare * 100)[1] == []
+
+
+def test_messages_reach_the_end_of_a_long_chain():
+    nodes, pairs = np.zeros((61, 2)), np.array([(i, i + 1) for i in range(60)])
+    nodes[0] = [0.0, 30.0]
+    pot = np.broadcast_to(np.log([[0.999, 0.001], [0.001, 0.999]]), (60, 2, 2))
+    assert np.isclose(personal_data.beliefs(nodes, pairs, pot)[60, 1], (1 + 0.998**60) / 2, atol=1e-3)
+
+
 def test_message_passing_is_exact_on_trees():
     rng = np.random.default_rng(1)
     nodes, pairs = rng.normal(size=(4, 3)), np.array([[0, 1], [1, 2], [1, 3]])
