@@ -174,10 +174,6 @@ def known_splits(spark, d):
     return f.groupBy("w").agg(F.sum((F.col("known") & F.col("rest_known")).cast("int")).cast("bigint").alias("n_known"))
 
 
-def long_words(spark, d):
-    return words(spark, d).filter(F.length("w").between(6, 10))
-
-
 def flat_parts(df):
     return df.select("w", F.posexplode("parts").alias("n", "part"))
 
@@ -250,8 +246,8 @@ def queries():
         "longest_prefix": lambda s, d: segment.longest_prefix(words(s, d), heads(s, d)),
         "best_prefix_split": lambda s, d: segment.best_prefix_split(words(s, d), heads(s, d)),
         "hybrid_choose": chosen,
-        "segment_greedy": lambda s, d: flat_parts(segment.segment_greedy(long_words(s, d), heads(s, d))),
-        "segment_nbest": lambda s, d: segment.segment_nbest(long_words(s, d), heads(s, d)).select("w", "rank", F.array_join("parts", "+").alias("parts"), "score"),
+        "segment_greedy": lambda s, d: flat_parts(segment.segment_greedy(words(s, d), heads(s, d))),
+        "segment_nbest": lambda s, d: segment.segment_nbest(words(s, d), heads(s, d)).select("w", "rank", F.array_join("parts", "+").alias("parts"), "score"),
         "translit_slp1_iast": lambda s, d: words(s, d).select("w", translit.slp1_to_iast(F.translate(W(), "abdt", "AEDT")).alias("iast")),
         "translit_round_trip": lambda s, d: words(s, d).select("w", translit.transliterate(translit.transliterate(W(), "Devanagari", "SLP1"), "SLP1", "Devanagari").alias("again")),
     }

@@ -44,6 +44,15 @@ def test_query_equals_its_sql(spark, duck, name):
     assert plain(got, columns) == plain(want, columns)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["segment_greedy", "segment_nbest"])
+def test_words_of_all_lengths_are_segmented(spark, name):
+    from lexloom.plans import registry
+
+    sizes = {len(r["w"]) for r in registry.queries()[name](spark, SF).select("w").distinct().collect()}
+    assert min(sizes) < 6 and max(sizes) > 10
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
