@@ -104,6 +104,24 @@ def test_model_backend(spark):
     assert out == {1: "ab cd", 2: "x", 3: None}
 
 
+def test_long_texts_take_several_prompts(spark):
+    words = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, words), (2, "x" * 1200), (3, "a " * 300 + "tag " * 100 + "é\n" * 300)], "doc_id long, text string")
+
+    def backend():
+        def model(prompts):
+            assert all(p.startswith("S ") and len(p) <= model_length for p in prompts)
+            return ["U" if "tag" in p else p[2:] for p in prompts]
+
+        return model
+
+    model_length = model.MAX_LENGTH
+    got = {r["doc_id"]: r["output"] for r in model.run_model(docs, "text", backend).collect()}
+    assert got[1] == words and got[2] == "x" * 1200
+    assert got[3].split() == ["a"] * 300 + ["tag"] * 100 + ["é"] * 300
+    assert model.segmented(docs, backend).filter("doc_id = 1").count() == 400
+
+
 def test_streams(spark, lex, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     spark.createDataFrame([(1, "devau ca"), (2, "xyz")], "doc_id long, text string").write.parquet(str(src))
