@@ -7,6 +7,11 @@ few or too many bigrams for a template cannot reach the threshold t, as Dice >=
 The same bound says that a match shares |T| / (2 - t) * t bigrams or more, so it holds one of any words that
 leave fewer bigrams than that untouched: units without any of these telling words are not split at all.
 
+What no unit matches is searched for notices inside lines or wrapped over several: runs of words of each
+template's size, matched lines apart.  A best run begins and ends with bigrams of the template, and is only
+looked at where enough of these stand close together (within twice the most bigrams of a match, as some may
+be repeated).  Each template found so counts as one unit.
+
 Defined cases: null and empty texts, and units of fewer than two words, match nothing; on equal scores
 the licence whose name sorts first wins; repeated rows get equal results; an empty table gives none.
 """
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Least Dice coefficient of a match.
 LEAST = 0.8
+#: Stands for a matched line, and in no template.
+MATCHED = "0matched0"
 # Public licence notices and short licence texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -124,6 +131,30 @@ def _best(grams: Column, least: float) -> Column:
     return F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
+def _run(grams: Column, own: list[str], least: float) -> Column:
+    """The best score of a run of a text's bigrams (in order) against one template; null where none can reach ``least``."""
+    (low, high), keys = bounds(len(own), least), _hashed(own)
+    places = F.transform(grams, lambda g, i: F.when(F.array_contains(keys, g), i + 1))
+
+    def scored(a: Column, b: Column) -> Column:
+        run = F.array_distinct(F.slice(grams, a, b - a + 1))
+        return 2.0 * F.size(F.array_intersect(run, keys)) / (F.size(run) + len(own))
+
+    def best(at: Column) -> Column:
+        starts = F.filter(at, lambda a, i: F.get(at, i + (low - 1)) - a < 2 * high)
+        return F.array_max(F.transform(starts, lambda a: F.array_max(F.transform(F.filter(at, lambda b: (b > a) & (b - a < 2 * high)), lambda b: scored(a, b)))))
+
+    # The transform of one element binds the places, so that they are not made again for every start.
+    score = F.get(F.transform(F.array(F.filter(places, lambda i: i.isNotNull())), best), 0)
+    return F.when(F.size(F.array_intersect(grams, keys)) >= low, score)
+
+
+def _runs(grams: Column, least: float) -> Column:
+    """array<struct<neg, name>>: the best run for each template that has one."""
+    scores = F.array(*[F.struct((-_run(grams, own, least)).alias("neg"), F.lit(name).alias("name")) for name, own in templates()])
+    return F.filter(scores, lambda x: x["neg"] <= -least)
+
+
 def scan(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """``docs`` with license, license_score and license_units: the best match and how many units match."""
     sizes = [len(own) for _, own in templates()]
@@ -142,24 +173,33 @@ def scan(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataF
     lines = F.filter(F.split(text, "\n", -1), tells)
     units = F.when(text.contains("\n"), F.concat(lines, F.array(text))).otherwise(lines)
 
-    def grams(unit: Column) -> Column:
+    def in_order(unit: Column) -> Column:
         words = F.filter(F.split(unit, "[^a-z0-9]+"), lambda w: w != "")
         return F.when(
             F.size(words) > 1,
-            F.array_distinct(
-                F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
-            ),
+            F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b))),
         ).otherwise(F.array().cast("array<bigint>"))
 
-    sets = F.filter(F.transform(F.array_distinct(units), grams), lambda g: F.size(g).between(fewest, most))
-    out = plain.withColumn("__sets", sets)
-    out = out.withColumn("__found", F.filter(F.transform("__sets", lambda g: _best(g, least)), lambda x: x.isNotNull()))
+    def grams(unit: Column) -> Column:
+        return F.array_distinct(in_order(unit))
+
+    sets = F.transform(F.array_distinct(units), lambda u: F.struct(u.alias("u"), grams(u).alias("g")))
+    out = plain.withColumn("__sets", F.filter(sets, lambda x: F.size(x["g"]).between(fewest, most)))
+    hits = F.transform("__sets", lambda x: F.struct(x["u"].alias("u"), _best(x["g"], least).alias("x")))
+    out = out.withColumn("__hits", F.filter(hits, lambda x: x["x"].isNotNull()))
+    matched = F.transform("__hits", lambda x: x["u"])
+    # A matched line becomes a word of no template, a matched text leaves nothing to search.
+    rest = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.when(F.array_contains(matched, x), MATCHED).otherwise(x)), " ")
+    rest = F.when(F.array_contains(matched, text), "").otherwise(rest)
+    out = out.withColumn("__order", F.when(tells(rest), in_order(rest)).otherwise(F.array().cast("array<bigint>")))
+    runs = F.when(F.size("__order") > 0, _runs(F.col("__order"), least)).otherwise(F.array().cast("array<struct<neg: double, name: string>>"))
+    out = out.withColumn("__found", F.concat(F.transform("__hits", lambda x: x["x"]), runs))
     best = F.array_min("__found")
     return (
         out.withColumn("license", best["name"])
         .withColumn("license_score", F.round(-best["neg"], 6))
         .withColumn("license_units", F.size("__found").cast("bigint"))
-        .drop("__text", "__plain", "__sets", "__found")
+        .drop("__text", "__plain", "__sets", "__hits", "__order", "__found")
     )
 
 

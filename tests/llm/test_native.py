@@ -41,6 +41,19 @@ def test_licences(spark, docs):
     assert licences.digest(empty(spark)).count() == 0
 
 
+def test_wrapped_and_embedded_notices(spark):
+    import textwrap
+
+    prose = "\n".join(f"some line {i} of an old tale about a river {i}" for i in range(80))
+    notice = {n: t for n, t in licences.TEMPLATES if len(t) > 300}
+    rows = [(i, prose + "\n" + "\n".join("# " + x for x in textwrap.wrap(notice[n], 72)) + "\n" + prose, n) for i, n in enumerate(sorted(notice))]
+    rows += [(10, prose.replace("\n", " ") + " " + notice["MIT"] + " " + prose.replace("\n", " "), "MIT")]
+    rows += [(11, f"Licensed under CC BY 4.0 oh\n{prose}\n" + "\n".join(textwrap.wrap(notice["GPL-3.0"], 72)), "GPL-3.0"), (12, prose + " without the license", None)]
+    got = {r["doc_id"]: r for r in licences.digest(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {i: got[i]["license"] for i in got} == {i: n for i, _, n in rows}
+    assert got[10]["license_score"] == got[11]["license_score"] == 1.0 and got[11]["license_units"] == 2
+
+
 def test_telling_words_never_prune_a_match():
     rng = random.Random(2)
     telling = licences.telling_words()
