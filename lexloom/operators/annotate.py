@@ -38,7 +38,7 @@ def analyse(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     swapped = forms.select(F.regexp_replace("headword", "ṃ$", "m").alias("headword")).unionByName(
         forms.select(F.regexp_replace("headword", "m$", "ṃ").alias("headword"))
     )
-    order = listed.withColumn("rank", F.col("o") * candidates.MOST + F.col("rank")).drop("o")
+    order = listed.withColumn("rank", F.col("o").cast("bigint") * 2**32 + F.col("rank")).drop("o")
     # Distinct words only, so these tables are small beside the text; each is read several times below.
     hit = candidates.first_hit(order, forms.unionByName(swapped)).persist()
     found = lookup.root_lookup(hit.select(F.col("cand").alias("w")).distinct(), lexicon.form_index, lexicon.paradigm)

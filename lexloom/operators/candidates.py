@@ -17,8 +17,6 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import rules
 
-#: Most candidates of one word; the fan-out measured on verse text has a maximum of 48.
-MOST = 4096
 SHORT_CIRCUIT = ("api", "āpi")
 
 
@@ -45,14 +43,15 @@ def search_order(word: str, finals=None, sam=None, prefixes=None) -> list[tuple[
     """(candidate, stripped prefixes) in the order of the search, each candidate once.
 
     Depth first: the word, its respelled finals, its respelled first nasal, and then what is left behind
-    each prefix, in turn.  A candidate that failed once fails always, so it is listed once.
+    each prefix, in turn.  A candidate that failed once fails always, so it is listed once: the search ends by
+    itself, if no chain of respellings lengthens a word for ever.
     """
     finals = rules.FINALS if finals is None else finals
     sam = rules.SAM if sam is None else sam
     prefixes = rules.PREFIXES if prefixes is None else prefixes
     out: dict[str, tuple[str, ...]] = {}
     stack: list[tuple[str, tuple[str, ...]]] = [(word, ())]
-    while stack and len(out) < MOST:
+    while stack:
         w, path = stack.pop()
         if not w or w in out:
             continue
@@ -86,14 +85,20 @@ def final_variants(words: DataFrame, finals: DataFrame) -> DataFrame:
     return own.unionByName(more)
 
 
+def _longest(relation: DataFrame, column: str):
+    """The greatest length in a column, 1 at least, as a scalar subquery."""
+    return relation.agg(F.greatest(F.coalesce(F.max(F.length(column)), F.lit(1)), F.lit(1))).scalar()
+
+
 def prefix_strip(words: DataFrame, prefixes: DataFrame) -> DataFrame:
     """w, ord, prefix, rest: each prefix (relation prefix, ord) that leaves something.
 
     Joined by equality on the first characters, for each length of prefix.
     """
-    begins = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda n: F.left("w", n))
-    keyed = words.select("w", F.explode(F.array_distinct(begins)).alias("prefix")).join(prefixes, "prefix")
-    return keyed.filter("length(w) > length(prefix)").select("w", "ord", "prefix", F.expr("substring(w, length(prefix) + 1)").alias("rest"))
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("w") - 1, _longest(prefixes, "prefix"))))
+    begins = words.filter(F.length("w") > 1).select("w", sizes.alias("n")).select("w", F.expr("left(w, n)").alias("prefix"))
+    keyed = begins.join(prefixes, "prefix")
+    return keyed.select("w", "ord", "prefix", F.expr("substring(w, length(prefix) + 1)").alias("rest"))
 
 
 def first_hit(cands: DataFrame, heads: DataFrame) -> DataFrame:
@@ -112,11 +117,11 @@ def root_cascade(words: DataFrame, heads: DataFrame) -> DataFrame:
 ABSTRACT = ["tv" + end for end in "a am e āni ena ābhyām aiḥ āya ebhyaḥ āt asya ayoḥ ānām eṣu".split()]
 
 
-def suffix_strip(words: DataFrame, suffixes: DataFrame, heads: DataFrame, longest: int = 8) -> DataFrame:
+def suffix_strip(words: DataFrame, suffixes: DataFrame, heads: DataFrame) -> DataFrame:
     """w, base, suffix: the longest suffix (relation suffix) that leaves a headword."""
-    ends = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.right("w", n))
-    keyed = words.select("w", F.explode(F.array_distinct(ends)).alias("suffix")).join(suffixes, "suffix")
-    cut = keyed.filter("length(w) > length(suffix)").withColumn("base", F.expr("left(w, length(w) - length(suffix))"))
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("w") - 1, _longest(suffixes, "suffix"))))
+    ends = words.filter(F.length("w") > 1).select("w", sizes.alias("n")).select("w", F.expr("right(w, n)").alias("suffix"))
+    cut = ends.join(suffixes, "suffix").withColumn("base", F.expr("left(w, length(w) - length(suffix))"))
     hits = cut.join(heads.select(F.col("headword").alias("base")).distinct(), "base")
     return hits.groupBy("w").agg(F.max_by(F.struct("base", "suffix"), F.length("suffix")).alias("x")).select("w", "x.*")
 

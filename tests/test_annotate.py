@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import annotate, model, records, segment
+from lexloom.operators import annotate, candidates, model, records, segment
 from lexloom.sources import lexicon
 from lexloom.streaming import annotate as streaming
 
@@ -87,6 +87,19 @@ def test_splits(spark):
     assert segment.segment_nbest(words, heads).first()["parts"] == ["rāja", "puruṣa"]
 
 
+def test_long_affixes_and_words_of_many_prefixes(spark):
+    words = spark.createDataFrame([("internationalword",)], "w string")
+    prefixes = spark.createDataFrame([("international", 0), ("in", 1)], "prefix string, ord int")
+    assert {r["rest"] for r in candidates.prefix_strip(words, prefixes).collect()} == {"word", "ternationalword"}
+    suffixes, heads = spark.createDataFrame([("ationalword",)], "suffix string"), spark.createDataFrame([("intern",)], "headword string")
+    assert candidates.suffix_strip(words, suffixes, heads).first()["base"] == "intern"
+    long = "pra" * 2000 + "deva"
+    found = candidates.root_cascade(spark.createDataFrame([(long,)], "w string"), spark.createDataFrame([("deva",)], "headword string"))
+    assert found.first()["path"] == ["pra"] * 2000
+    many = candidates.search_order("pra" * 1500 + "n")
+    assert len(many) > 4096 and len({c for c, _ in many}) == len(many)
+
+
 def test_merging_runs(spark):
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(["sam", "bandha", "sam", "sam", "x"])], "k int, pos int, stem string")
     heads = spark.createDataFrame([("sambandha",), ("samsam",), ("samx",)], "headword string")
