@@ -13,6 +13,8 @@ import numpy as np
 
 #: Code points of one cut, unless one text has more.
 CUT = 1 << 20
+#: Texts of one cut.
+CUT_TEXTS = 1 << 15
 #: Stands between texts; no character has this number.
 BREAK = 0x110000
 _P = np.uint64(0x9E3779B97F4A7C13)
@@ -28,11 +30,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def cuts(texts: list[str | None], most: int = CUT) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with ``most`` code points or so each."""
+    """Ranges of texts with ``most`` code points or so, and CUT_TEXTS texts, each."""
     start = total = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if i > start and total + n > most:
+        if i > start and (total + n > most or i - start == CUT_TEXTS):
             yield start, i
             start, total = i, 0
         total += n

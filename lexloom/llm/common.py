@@ -58,6 +58,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], held: str, most: int) -> DataFrame:
+    """``rows`` joined with ``table``, whose column ``held`` says how many rows each key has.
+
+    Keys with more than ``most`` rows are broadcast, so their rows stay where they are; these keys are
+    fewer than the rows divided by ``most``.  All others are joined as usual.
+    """
+    hot = F.broadcast(table.filter(F.col(held) > most))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(table.filter(F.col(held) <= most), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def words_of(col: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; a null text has none."""
     return F.filter(F.split(F.coalesce(col, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")

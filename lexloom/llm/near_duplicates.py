@@ -2,16 +2,18 @@
 
 A document's set holds its distinct two-word shingles.  Equal sets form a class at once, by digest, and
 one class member stands for all.  Signatures of the representatives are banded; in every bucket the
-members are tested against a centre (the smallest id), on full sets.  A bucket whose members then still
-lie in several components goes on: members outside its largest component serve as centres, some a round
-and bucket, until all members that never served lie in one component.  So every pair of a bucket that
-could join two components is tested, while a bucket of one group of copies costs a single star, however
-large it is.  Two sets at the threshold miss all buckets with a probability of 5e-6; in later rounds a
-one-bit sketch rules out pairs far below it, and one at it with a probability of 3e-6.
+members are tested against a centre (the smallest id), on full sets, and then the members outside the
+bucket's largest component against a drawn member of that one.  Buckets whose members still lie in several
+components are settled exactly: among their members, pairs of different components are tested wherever a
+common shingle stands so early in both (rarest first) that a similarity of 0.8 is possible.  So a bucket of
+one group of copies costs a star, however large it is; documents that share a common passage and little
+else are never paired, however many they are; and no pair of a bucket that could join two components is
+left out.  Two sets at the threshold miss all buckets with a probability of 5e-6.
 
 Defined cases: texts that are null, empty or without words have an empty set and are linked with
 nothing; rows with a null doc_id are linked with nothing and kept; rows of equal doc_id are one node of
-the graph; equal rows are one class; empty tables give empty results; other columns are not read.
+the graph, also if their texts differ; equal rows are one class; empty tables give empty results; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -20,23 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import code_points, cuts, is_word, mix, prefix_hashes, run_hashes, runs
-from .common import drop_stored, stored
+from .common import drop_stored, spread_join, stored
 
 BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
-SKETCH = ("s0", "s1", "s2", "s3")
 #: Similarity that links, as a fraction.
 SHARE, OF = 80, 100
-#: Bits of a shingle's hash that are kept; the others hold a document's place in its cut.
-BITS = 48
-#: About as many centres a bucket and round, after the first, at most.
-CENTRES = 256
-#: Bits in which the one-bit sketches of a pair at the threshold differ, at most: 4.5 deviations above the mean.
-DIFFER = 45
+#: A key with more than this part of a table's rows is joined by broadcast; so many keys at most are.
+HOT_KEYS = 1000
 #: From this level on, permutations are kept as rows and not as lists of swaps.
 ROWS_FROM = 6
 
@@ -54,12 +51,14 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     per = np.bincount(doc, minlength=n)
     alone = per[doc] == 1
     found = np.concatenate([two, mix(words[alone] + np.uint64(0x2545F4914F6CDD1D))])
-    owner = np.concatenate([doc[1:][pair], doc[alone]]).astype(np.uint64)
-    keys = np.sort((owner << np.uint64(BITS)) | (found >> np.uint64(64 - BITS)))
-    if len(keys):
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    counts = np.bincount((keys >> np.uint64(BITS)).astype(np.int64), minlength=n)
-    return keys & np.uint64((1 << BITS) - 1), counts
+    owner = np.concatenate([doc[1:][pair], doc[alone]])
+    order = np.argsort(found)
+    order = order[np.argsort(owner[order].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]
+    found, owner = found[order], owner[order]
+    if len(found):
+        new = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])])
+        found, owner = found[new], owner[new]
+    return found, np.bincount(owner, minlength=n)
 
 
 def super_minhash(sets: np.ndarray, counts: np.ndarray, m: int = SLOTS) -> np.ndarray:
@@ -120,12 +119,6 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketches(signatures: np.ndarray) -> np.ndarray:
-    """One bit of each slot, in four longs: equal slots have equal bits, others half of the time."""
-    bits = (signatures & np.uint32(1)).astype(np.int64).reshape(len(signatures), 4, SLOTS // 4)
-    return bits @ (np.int64(1) << np.arange(SLOTS // 4, dtype=np.int64))
-
-
 def _sums(sets: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
     total = np.zeros(len(sets) + 1, np.uint64)
     np.cumsum(mix(sets + np.uint64(seed)), out=total[1:])
@@ -139,11 +132,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in cuts(texts):
             sets, counts = shingle_sets(texts[a:b])
             has = np.flatnonzero(counts)
-            keys = np.zeros((b - a, BANDS), np.uint64)
-            short = np.zeros((b - a, 4), np.int64)
-            if len(has):
-                signatures = super_minhash(sets, counts[has])
-                keys[has], short[has] = band_keys(signatures), sketches(signatures)
+            keys = band_keys(super_minhash(sets, counts[has])) if len(has) else np.zeros((0, BANDS), np.uint64)
             offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -151,10 +140,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(counts.astype(np.int64)),
                     pa.array(_sums(sets, counts, 0x1B873593).view(np.int64)),
                     pa.array(_sums(sets, counts, 0x7FEB352D).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].reshape(-1).view(np.int64))),
-                    *[pa.array(np.ascontiguousarray(short[:, i])) for i in range(4)],
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64))),
                 ],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands", "s0", "s1", "s2", "s3"],
+                names=["doc_id", "n_shingles", "k1", "k2", "bands"],
             )
 
 
@@ -164,12 +152,14 @@ def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1, k2 = (np.asarray(batch.column(i)) for i in (2, 3))
         for a, b in cuts(texts):
             sets, counts = shingle_sets(texts[a:b])
-            ends = np.cumsum(counts)
-            packed = [sets[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.view(np.int64)))
             own = (_sums(sets, counts, 0x1B873593).view(np.int64) == k1[a:b]) & (
                 _sums(sets, counts, 0x7FEB352D).view(np.int64) == k2[a:b]
             )
-            made = pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(packed, pa.binary())], names=["rep", "shingles"])
+            made = pa.RecordBatch.from_arrays(
+                [ids.slice(a, b - a), batch.column(2).slice(a, b - a), packed], names=["rep", "k1", "shingles"]
+            )
             yield made.filter(pa.array(own))
 
 
@@ -181,34 +171,40 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = (batch.column(i).to_pylist() for i in (2, 3))
-        ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(left, right, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"]
-        )
+        sides = []
+        for i in (2, 3):
+            column = batch.column(i)
+            sides.append((np.asarray(column.values).view(np.uint64), np.asarray(column.offsets)))
+        (x, i), (y, j) = sides
+        ok = [linked(x[i[r] : i[r + 1]], y[j[r] : j[r + 1]]) for r in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node that each node of an undirected graph reaches.
 
     Union-find as alternating star contractions: every node hands its larger, then its smaller
-    neighbours to the smallest one, until only stars are left.  Both use minima and joins, so a node
+    neighbours to the smallest one, until only stars are left.  Minima are combined before they are
+    shuffled, and edges of nodes with very many neighbours meet their minimum by broadcast, so a node
     with any number of neighbours stays spread over tasks.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
-    before = None
+    pairs = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"), "graph")
+    before, rows = None, pairs.count()
     while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        star = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        most = max(rows // HOT_KEYS, 64)
+        turned = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = pairs.unionByName(turned)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = spread_join(turned, least, ["u"], "n", most).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.unionByName(pairs.filter("false")).filter("u <> v")
+        below = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        star = spread_join(large, below, ["u"], "n", most)
         ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         after = stored(star.select(ends.alias("x")).select("x.u", "x.v").filter("u <> v").dropDuplicates(), "graph")
         # Nothing moves any more once count and digest of the edges stay.
         digest = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before is not None:
-            drop_stored(pairs)
-        pairs = after
+        drop_stored(pairs)
+        pairs, rows = after, digest[0]
         if digest == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = digest
@@ -217,128 +213,127 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(
-        texts.mapInArrow(_signed, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"), "signatures"
-    )
+    signed = stored(texts.mapInArrow(_signed, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
+    keyed = signed.filter("n_shingles > 0 and doc_id is not null")
+    key = ["n_shingles", "k1", "k2"]
     classes = stored(
-        signed.filter("n_shingles > 0 and doc_id is not null")
-        .groupBy("n_shingles", "k1", "k2")
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *[F.first(x).alias(x) for x in SKETCH]),
+        keyed.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("rows")),
         "classes",
     )
-    members = classes.select("rep", "n_shingles", "k1", "k2", F.explode("bands").alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.min(F.struct("rep", "n_shingles")).alias("c"), F.max("rep").alias("last"))
-    centres = centres.filter("c.rep <> last").select("bucket", F.col("c.rep").alias("centre"), F.col("c.n_shingles").alias("n_centre"))
-    shared = stored(members.join(centres, "bucket"), "buckets")  # buckets of two members or more
-    sets = _sets_of(texts, shared)
+    members = classes.select("rep", "k1", "n_shingles", F.explode("bands").alias("bucket"))
+    first = F.min(F.struct("rep", "k1", "n_shingles")).alias("c")
+    centres = members.groupBy("bucket").agg(first, F.count("*").alias("n")).filter("n > 1")
+    shared = stored(members.join(centres.select("bucket", "c"), "bucket"), "buckets")  # buckets of two members or more
+    wanted = shared.select("rep", "k1").dropDuplicates().join(classes.select("rep", "k1", "k2"), ["rep", "k1"])
+    rows = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text", "k1", "k2")
+    # An id may stand on several rows; a class's own set is the one with its digest.
+    sets = stored(rows.mapInArrow(_as_sets, "rep long, k1 long, shingles array<long>").dropDuplicates(["rep", "k1"]), "sets")
 
     def tested(pairs: DataFrame) -> DataFrame:
-        """The distinct pairs (a, b), tested on full sets; those whose sizes differ too much fail at once."""
-        fit = pairs.filter(f"{OF} * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)").select("a", "b").dropDuplicates()
-        first = fit.join(sets.withColumnRenamed("shingles", "sa"), F.col("a") == F.col("rep")).drop("rep")
-        both = first.join(sets.withColumnRenamed("shingles", "sb"), F.col("b") == F.col("rep"))
-        return both.select("a", "b", "sa", "sb").mapInArrow(_tested, "a long, b long, ok boolean")
-
-    stars = shared.filter("rep <> centre").select(
-        F.col("rep").alias("a"), F.col("centre").alias("b"), F.col("n_shingles").alias("n_a"), F.col("n_centre").alias("n_b")
-    )
-    links = stored(tested(stars).filter("ok").select("a", "b"), "links")
+        """The links (a, b) among pairs of classes, tested on full sets; each pair is tested once."""
+        fit = pairs.filter(f"{OF} * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)").select("a", "ka", "b", "kb").dropDuplicates()
+        both = fit.join(sets.toDF("a", "ka", "sa"), ["a", "ka"]).join(sets.toDF("b", "kb", "sb"), ["b", "kb"])
+        return both.select("a", "b", "sa", "sb").mapInArrow(_tested, "a long, b long")
+
+    # Rows of one id in several classes tie these together.
+    ties = keyed.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("x <> y")
+    ties = keyed.select("doc_id", *key).join(ties.select("doc_id"), "doc_id").join(classes.select("rep", *key), key)
+    stars = shared.filter("rep <> c.rep or k1 <> c.k1").select(*_pair("rep", "k1", "n_shingles", "c.rep", "c.k1", "c.n_shingles"))
+    links = tested(stars).unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).dropDuplicates())
     labels = components(links)
-    # Members that have not served as a centre, of buckets where these lie in several components.
-    waiting = shared.filter("rep <> centre").select("bucket", "rep", "n_shingles")
-    short = classes.select("rep", *SKETCH)
-    turn = 0
-    while True:
-        rows = _unsettled(waiting, labels, short)
-        if rows.limit(1).count() == 0:
-            break
-        turn += 1
-        stray = rows.filter("component <> most")
-        if turn == 1:
-            # A member of the largest component, drawn anew in every bucket, takes in what is near its rim.
-            drawn = F.min_by(F.struct("rep", "component", "n_shingles", *SKETCH), F.xxhash64("rep", "bucket"))
-            chosen = rows.filter("component = most").groupBy("bucket").agg(drawn.alias("c")).select("bucket", "c.*")
-            asked = stray
-        else:
-            # All members outside the bucket's largest component serve, or by hash about CENTRES of them.
-            part = F.ceil(F.col("strays") / CENTRES).cast("bigint")
-            chosen = stored(stray.filter(F.pmod(F.xxhash64("rep", F.lit(turn)), part) == 0), "centres")
-            asked = rows
-        more = stored(tested(_crossing(asked, chosen)).filter("ok").select("a", "b"), "links")
-        if turn > 1:
-            waiting = stored(
-                rows.join(chosen.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n_shingles"),
-                "waiting",
-            )
+    for further in (_drawn, _early):
+        rows = _unsettled(shared, labels)
+        more = stored(tested(further(rows, sets)), "links")
+        drop_stored(rows)
         if more.limit(1).count():
-            joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = components(joined.unionByName(more))
+            old = labels
+            labels = components(old.toDF("a", "b").unionByName(more))
+            drop_stored(old)
+        drop_stored(more)
+    drop_stored(shared)
+    drop_stored(sets)
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select(
-        "n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component")
+        *key, "rows", F.coalesce("component", "rep").alias("component_id")
     )
-    return (
-        signed.select("doc_id", "n_shingles", "k1", "k2")
-        .join(named, ["n_shingles", "k1", "k2"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    most = max(signed.count() // HOT_KEYS, 64)
+    out = ["doc_id", "n_shingles", "component_id"]
+    alone = signed.filter("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    found = spread_join(keyed.select("doc_id", *key), named, key, "rows", most).select(*out).unionByName(alone.select(*out))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _pair(a: str, ka: str, n_a: str, b: str, kb: str, n_b: str) -> list[Column]:
+    """Columns a, ka, n_a, b, kb, n_b of a pair of classes, the larger one first."""
+    x, y = F.struct(F.col(a).alias("r"), F.col(ka).alias("k"), F.col(n_a).alias("n")), F.struct(F.col(b).alias("r"), F.col(kb).alias("k"), F.col(n_b).alias("n"))
+    high, low = F.greatest(x, y), F.least(x, y)
+    return [
+        high["r"].alias("a"), high["k"].alias("ka"), high["n"].alias("n_a"), low["r"].alias("b"), low["k"].alias("kb"), low["n"].alias("n_b")
+    ]
+
+
+def _unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with components, of buckets where these are several; with the bucket's largest component."""
+    named = shared.join(labels, shared["rep"] == labels["node"], "left").select(
+        "bucket", "rep", "k1", "n_shingles", F.coalesce("component", "rep").alias("component")
     )
+    per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    several = per.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds"))
+    several = several.filter("kinds > 1").select("bucket", F.col("largest.component").alias("most"))
+    return stored(named.join(several, "bucket"), "unsettled")
 
 
-def _unsettled(waiting: DataFrame, labels: DataFrame, short: DataFrame) -> DataFrame:
-    """The waiting members, with components and sketches, of buckets where these are several; with the
-    bucket's largest component (most) and the number of members outside it (strays)."""
-    named = waiting.join(labels, waiting["rep"] == labels["node"], "left").select(
-        "bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")
-    )
-    per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    several = per.groupBy("bucket").agg(
-        F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.count("*").alias("kinds")
-    )
-    several = several.filter("kinds > 1").select(
-        "bucket", F.col("largest.component").alias("most"), (F.col("all") - F.col("largest.n")).alias("strays")
-    )
-    return stored(named.join(several, "bucket").join(short, "rep"), "waiting")
+def _drawn(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members outside a bucket's largest component, each with one member of it, drawn anew in every bucket."""
+    drawn = F.min_by(F.struct("rep", "k1", "n_shingles"), F.xxhash64("rep", "bucket")).alias("d")
+    chosen = rows.filter("component = most").groupBy("bucket").agg(drawn)
+    return rows.filter("component <> most").join(chosen, "bucket").select(*_pair("rep", "k1", "n_shingles", "d.rep", "d.k1", "d.n_shingles"))
 
 
-def _crossing(asked: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of members and centres of a bucket that lie in different components.
+def _early(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of different components that could be similar enough, by the shingles they share early.
 
-    Size and sketch are part of the join: pairs that cannot be similar enough are never made.
+    The shingles of each set are ranked, rarest first.  If the first common shingle of two sets of n and m
+    stands at ranks i and j, they share min(n - i, m - j) + 1 at most, and a link asks for (n + m) * 4 / 9:
+    so some common shingle passes the join below, of the larger set among its first fifth or so, of the
+    smaller one among its first ninth.
     """
-    centre = chosen.select(
-        F.col("bucket").alias("at"), F.col("rep").alias("centre"), F.col("component").alias("home"),
-        F.col("n_shingles").alias("n_b"), *[F.col(x).alias(f"c_{x}") for x in SKETCH],
-    )
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"c_{x}"))) for x in SKETCH), F.lit(0))
-    fits = (
-        (F.col("bucket") == F.col("at"))
-        & (F.col("component") != F.col("home"))
-        & (OF * F.least("n_shingles", "n_b") >= SHARE * F.greatest("n_shingles", "n_b"))
-        & (differ <= DIFFER)
-    )
-    return asked.join(centre, fits).select(
-        F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"), F.col("n_shingles").alias("n_a"), "n_b"
+    nodes = rows.select("rep", "k1", "component").dropDuplicates()
+    grams = sets.join(nodes, ["rep", "k1"]).select("rep", "k1", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    common = grams.groupBy("g").agg(F.count("*").alias("held")).filter("held > 1")
+    # A shingle of one set only ranks first and meets no other.
+    known = grams.join(common, "g", "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("rep", "k1").orderBy("held", "g"))  # a set of one text
+    both = SHARE + OF
+    ranked = known.withColumn("at", rank).filter("held > 1").filter(f"{OF} * (n - at + 1) >= {SHARE} * n")
+    x = ranked.filter(f"{both} * (n - at + 1) >= {2 * SHARE} * n").select("g", *[F.col(c).alias(f"x_{c}") for c in ("rep", "k1", "component", "n", "at")])
+    meets = (
+        (F.col("g") == F.col("x_g"))
+        & (F.col("component") != F.col("x_component"))
+        & (F.struct("x_n", "x_rep", "x_k1") < F.struct("n", "rep", "k1"))
+        & (OF * F.col("x_n") >= SHARE * F.col("n"))
+        & (both * (F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) + 1) >= SHARE * (F.col("n") + F.col("x_n")))
     )
+    return ranked.join(x.withColumnRenamed("g", "x_g"), meets).select(*_pair("rep", "k1", "n", "x_rep", "x_k1", "x_n"))
 
 
-def _sets_of(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """rep, shingles: the full sets of the representatives that share a bucket.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: of the smallest id, and of that one row.
 
-    A doc_id may stand on several rows; the class's own set is the one with its digest.
+    Rows with a null id are kept; of rows that share an id the one whose text has the least hash stays.
     """
-    wanted = shared.select("rep", "k1", "k2").dropDuplicates(["rep"])
-    rows = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text", "k1", "k2")
-    return stored(rows.mapInArrow(_as_sets, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose document repeats a kept one."""
-    gone = group(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).dropDuplicates()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    found = group(docs, id_col, text_col).filter("doc_id is not null")
+    state = found.groupBy("doc_id").agg(F.min("kept").alias("__kept"), F.count("*").alias("__rows"))
+    state = state.withColumnRenamed("doc_id", "__id").filter("not __kept or __rows > 1")
+    state = stored(state, "not-single")
+    own = F.col(id_col).cast("bigint")
+    single = docs.join(state, own == F.col("__id"), "left_anti")
+    several = state.filter("__kept").select(F.col("__id").alias("__several"))
+    if several.limit(1).count() == 0:
+        return single.select(*docs.columns)
+    again = docs.select(own.alias("__id"), F.struct(*docs.columns).alias("__row")).join(several, F.col("__id") == F.col("__several"))
+    text = F.coalesce(F.col("__row")[text_col], F.lit(""))
+    picked = again.groupBy("__id").agg(F.min_by("__row", F.struct(F.xxhash64(text), text)).alias("r")).select("r.*")
+    return single.select(*docs.columns).unionByName(picked)
 
 
 def sql() -> str:

@@ -216,8 +216,34 @@ def test_near_duplicates(spark):
     odd = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id long, text string")
     out = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in near_duplicates.group(odd).collect())
     assert out == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("None", "None", True)]
-    assert near_duplicates.keep_one(odd).count() == 3
-    assert near_duplicates.group(odd.limit(0)).count() == 0
+    assert sorted(str(r["doc_id"]) for r in near_duplicates.keep_one(odd).collect()) == ["1", "None"]
+    assert near_duplicates.group(odd.limit(0)).count() == near_duplicates.keep_one(odd.limit(0)).count() == 0
+
+
+def test_one_id_on_several_texts_is_one_node(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, two, three = (" ".join(words[i : i + 20]) for i in (0, 20, 40))
+    rows = [(1, one, "x"), (1, two, "y"), (2, one + " z", "x"), (3, two + " z", "x"), (0, three, "x"), (9, three, "x"), (9, "other words here", "x"), (10, "other words here", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.group(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 9: 0, 10: 0, None: None}
+    left = near_duplicates.keep_one(df)
+    assert left.columns == df.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["0", "1", "None"]
+
+
+def test_sets_of_very_many_short_texts():
+    texts = [f"a{i} b{i}" for i in range(70_000)]
+    sets, counts = near_duplicates.shingle_sets(texts)
+    assert counts.tolist() == [1] * 70_000 and len(set(sets.tolist())) == 70_000
+    assert max(b - a for a, b in arrays.cuts(texts)) <= 1 << 15
+
+
+def test_many_short_documents_with_one_passage(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(2, 14)))) for i in range(400)]
+    got = near_duplicates.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == exact_components(rows)
 
 
 def test_components(spark):
