@@ -293,9 +293,10 @@ def _early(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of different components that could be similar enough, by the shingles they share early.
 
     The shingles of each set are ranked, rarest first.  If the first common shingle of two sets of n and m
-    stands at ranks i and j, they share min(n - i, m - j) + 1 at most, and a link asks for (n + m) * 4 / 9:
-    so some common shingle passes the join below, of the larger set among its first fifth or so, of the
-    smaller one among its first ninth.
+    stands at ranks i and j, they share min(n - i, m - j) + 1 at most, and a link asks for (n + m) * 4 / 9.
+    So a shingle at rank i matters only for partners of up to (n - i + 1) * 9 / 4 - n shingles, and the join
+    goes by shingle and range of sizes.  One side holds only sets outside a shingle's commonest component:
+    members of one component, however many they are, do not meet.
     """
     nodes = rows.select("rep", "k1", "component").dropDuplicates()
     grams = sets.join(nodes, ["rep", "k1"]).select("rep", "k1", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
@@ -304,16 +305,29 @@ def _early(rows: DataFrame, sets: DataFrame) -> DataFrame:
     known = grams.join(common, "g", "left").withColumn("held", F.coalesce("held", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("rep", "k1").orderBy("held", "g"))  # a set of one text
     both = SHARE + OF
-    ranked = known.withColumn("at", rank).filter("held > 1").filter(f"{OF} * (n - at + 1) >= {SHARE} * n")
-    x = ranked.filter(f"{both} * (n - at + 1) >= {2 * SHARE} * n").select("g", *[F.col(c).alias(f"x_{c}") for c in ("rep", "k1", "component", "n", "at")])
+    ranked = stored(
+        known.withColumn("at", rank).filter("held > 1").drop("held").filter(f"{OF} * (n - at + 1) >= {SHARE} * n").withColumn("band", _band(F.col("n"))),
+        "early",
+    )
+    per = ranked.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g")
+    most = per.agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
+    lone = ranked.drop("band").join(most.select("g", "most"), "g").filter("component <> most")
+    least, largest = F.expr(f"({SHARE} * n + {OF - 1}) div {OF}"), F.expr(f"least(({OF} * n) div {SHARE}, ({both} * (n - at + 1)) div {SHARE} - n)")
+    lone = lone.withColumn("least", least).withColumn("largest", largest).filter("least <= largest")
+    x = lone.select(*[F.col(c).alias(f"x_{c}") for c in ("g", "rep", "k1", "component", "n", "at", "most")], F.explode(F.sequence(_band(F.col("least")), _band(F.col("largest")))).alias("x_band"))
     meets = (
         (F.col("g") == F.col("x_g"))
+        & (F.col("band") == F.col("x_band"))
         & (F.col("component") != F.col("x_component"))
-        & (F.struct("x_n", "x_rep", "x_k1") < F.struct("n", "rep", "k1"))
-        & (OF * F.col("x_n") >= SHARE * F.col("n"))
+        & ((F.col("component") == F.col("x_most")) | (F.struct("x_rep", "x_k1") < F.struct("rep", "k1")))
         & (both * (F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) + 1) >= SHARE * (F.col("n") + F.col("x_n")))
     )
-    return ranked.join(x.withColumnRenamed("g", "x_g"), meets).select(*_pair("rep", "k1", "n", "x_rep", "x_k1", "x_n"))
+    return ranked.join(x, meets).select(*_pair("rep", "k1", "n", "x_rep", "x_k1", "x_n"))
+
+
+def _band(n: Column) -> Column:
+    """Number of the range of sizes that ``n`` lies in: sixteen a doubling."""
+    return F.floor(16 * F.log2(n.cast("double"))).cast("int")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
