@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .arrays import END, LETTER, SPACE, classes, code_points, cuts, joined_text, prefix_hashes, run_hashes, spread
 
@@ -273,7 +274,10 @@ def codec(path: str) -> Codec:
 
 
 def round_trips(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    """doc_id (as a long), n_tokens, ids_sha256, decoded_sha256: one row for each row.
+
+    A null text is empty and has no tokens; a null doc_id is carried; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(path)
@@ -293,6 +297,6 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only where the session names none and runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lexloom-")
@@ -74,27 +78,50 @@ def words_of(col: Column) -> Column:
     return F.filter(F.split(F.coalesce(col, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
 
 
-def running(values: Column) -> Column:
-    """Running totals of an array<long>, itself included, in two levels of folds."""
-    empty = F.array().cast("array<bigint>")
+def with_row(docs: DataFrame, text_col: str) -> DataFrame:
+    """``__row``, all columns as they are, and ``__text`` (null: empty): so no column's name can clash with an operator's own."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("__row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
+
+
+def added(df: DataFrame, docs: DataFrame, **columns: Column) -> DataFrame:
+    """The columns of ``docs`` out of ``__row``, and ``columns``; an input column of such a name is replaced."""
+    own = [F.col("__row")[c].alias(c) for c in docs.columns if c not in columns]
+    return df.select(*own, *[c.alias(name) for name, c in columns.items()])
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used; else each use within a lambda evaluates it anew."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def chunks(values: Column) -> Column:
+    """An array (evaluated for every slice: a column or a bound value) in slices of CHUNK; none of an empty one."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(values, i, CHUNK))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b, zero: int = 0) -> Column:
+    """Running totals (or maxima, ...) of an array<long>, itself included, in two levels of folds."""
+    empty, start = F.array().cast("array<bigint>"), F.lit(zero).cast("bigint")
 
     def fold(part: Column) -> Column:
         return F.aggregate(
             part,
-            F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")),
-            lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")),
+            F.struct(start.alias("at"), empty.alias("out")),
+            lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(join(acc["at"], x))).alias("out")),
         )
 
-    parts = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(CHUNK)), lambda i: fold(F.slice(values, i, CHUNK)))
     both = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<array<bigint>>").alias("out")),
+        bound(values, lambda v: F.transform(chunks(v), fold)),
+        F.struct(start.alias("at"), F.array().cast("array<array<bigint>>").alias("out")),
         lambda acc, p: F.struct(
-            (acc["at"] + p["at"]).alias("at"),
-            F.concat(acc["out"], F.array(F.transform(p["out"], lambda x: x + acc["at"]))).alias("out"),
+            join(acc["at"], p["at"]).alias("at"),
+            F.concat(acc["out"], F.array(F.transform(p["out"], lambda x: join(acc["at"], x)))).alias("out"),
         ),
+        lambda acc: F.flatten(acc["out"]),
     )
-    return F.when(F.size(values) > 0, F.flatten(both["out"])).otherwise(empty)
+    return both
 
 
 def matches(text: Column, pattern: str, kind: str, group: int | None = None) -> Column:
@@ -105,15 +132,16 @@ def matches(text: Column, pattern: str, kind: str, group: int | None = None) ->
     """
     hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hit
-    gap = F.split(text, pattern, -1)
-    steps = F.zip_with(
-        F.slice(gap, 1, F.size(hit)), hit, lambda a, b: F.length(a).cast("bigint") + F.length(b).cast("bigint")
-    )
-    return F.zip_with(
-        running(steps),
-        F.zip_with(hit, part, lambda h, p: F.struct(F.length(h).alias("n"), F.length(p).alias("g"))),
-        lambda end, h: F.struct((end - h["n"]).alias("s"), end.alias("e"), F.lit(kind).alias("kind"), h["g"].alias("g")),
-    )
+    gap = F.split(text, pattern, -1)  # one more than the matches
+
+    def placed(m: Column) -> Column:
+        return F.zip_with(
+            running(F.zip_with(F.slice(gap, 1, F.size(m)), m, lambda a, x: F.length(a).cast("bigint") + x["n"])),
+            m,
+            lambda end, x: F.struct((end - x["n"]).alias("s"), end.alias("e"), F.lit(kind).alias("kind"), x["g"].alias("g")),
+        )
+
+    return bound(F.zip_with(hit, part, lambda h, p: F.struct(F.length(h).alias("n"), F.length(p).alias("g"))), placed)
 
 
 NO_MATCHES = "array<struct<s:bigint,e:bigint,kind:string,g:int>>"

@@ -5,12 +5,13 @@ fixed table of weights; learned transitions tie neighbouring words.  Forward-bac
 label probabilities, also where a text switches languages; a document gets the label with the highest
 mean probability, and that mean as its score.
 
-Learned from a bounded sample: at most LANG_DOCS labelled documents a language (the ones with the least
-hash in each of LANG_DOCS hash classes) and SAMPLE_CHARS characters of each, from a place drawn by hash.  Prediction reads whole
-texts.
+Learned from a bounded sample of labelled rows: at most LANG_DOCS documents a language (the ones with the
+least hash in each of LANG_DOCS hash classes), TOTAL_DOCS in all, of the MOST_LANGS commonest languages.
+Their texts, and those that are labelled, are read whole; the work memory of a training step is bounded.
 
 Defined cases: a null text or one without letters is ``und`` with score 0, and so is every text where no
-label can be learned; a null doc_id is not held out and not learned from; repeated rows get equal results.
+label can be learned; a null doc_id is not held out and not learned from; repeated rows get equal results;
+an empty table gives an empty one; other columns pass ``keep_known`` as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LETTER, classes, code_points, cuts, mix, prefix_hashes, run_hashes, runs, spread
+from .common import stored
 
-LANG_DOCS, SAMPLE_CHARS = 256, 3000
+LANG_DOCS, TOTAL_DOCS, MOST_LANGS = 256, 4096, 256
 BUCKETS = 1 << 15
 #: Words of a training sequence, of a block of the chain; training rounds and step.
 SEQUENCE, BLOCK, EPOCHS, BATCH, STEP = 40, 32, 3, 64, 0.4
@@ -79,66 +81,82 @@ class Chain:
         return np.add.reduceat(self.weights[place], np.cumsum(count) - count).astype(np.float64)
 
     def fit(self, texts: list[str], names: list[str]) -> None:
-        """Stochastic gradient steps on the log likelihood of sequences of equal length.
+        """Stochastic gradient steps on the log likelihood of sequences of up to SEQUENCE words.
 
-        A third of the sequences join halves from two documents, so that transitions between labels
-        are learned too.
+        A third of the sequences join pieces of two documents, so that transitions between labels are
+        learned too.  Texts go through in cuts, in a drawn order, so memory is that of one cut.
         """
-        codes, starts, ends, doc = words_in(texts)
-        place, count = features(codes, starts, ends)
-        offset = np.cumsum(count) - count
-        truth = np.array([self.labels.index(n) for n in names])[doc]
         rng = np.random.default_rng(20)
-        half = SEQUENCE // 2
-        runs_ = [w[i : i + half] for w in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1) for i in range(0, len(w) - half + 1, half)]
-        if len(runs_) < 2:
-            runs_ = [np.resize(np.arange(len(doc)), half)] * 2 if len(doc) else []
         squares = [np.full_like(x, 1e-6, dtype=np.float64) for x in (self.weights, self.first, self.pairs)]
-        blocks = np.array(runs_)
-        for _ in range(EPOCHS if len(blocks) else 0):
-            mate = np.arange(len(blocks)) + 1
-            mate[-1] = 0
-            mixed = rng.random(len(blocks)) < 1 / 3
-            mate[mixed] = rng.integers(0, len(blocks), int(mixed.sum()))
-            order = rng.permutation(len(blocks))
-            for i in range(0, len(order), BATCH):
-                rows = order[i : i + BATCH]
-                words = np.concatenate([blocks[rows], blocks[mate[rows]]], 1)
-                flat = words.reshape(-1)
-                at = place[spread(offset[flat], count[flat])]
-                gold = truth[words]
-                emit = self.scores(at, count[flat]).reshape(*words.shape, -1)
-                got, pairs = self._expected(emit)
-                wrong = -got
-                np.put_along_axis(wrong, gold[:, :, None], 1 + np.take_along_axis(wrong, gold[:, :, None], 2), 2)
-                moved = -pairs
-                np.add.at(moved, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
-                push = np.zeros_like(squares[0])
-                np.add.at(push, at, np.repeat(wrong.reshape(len(flat), -1), count[flat], 0))
-                for x, g, s in zip((self.weights, self.first, self.pairs), (push, wrong[:, 0].sum(0), moved), squares, strict=True):
-                    g = g / len(rows)
-                    s += g * g
-                    x += (STEP * g / np.sqrt(s)).astype(x.dtype) * 0.1
-
-    def _expected(self, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Label probabilities of each word, and expected label pairs, of sequences of equal length."""
+        for _ in range(EPOCHS):
+            order = rng.permutation(len(texts))
+            shuffled = [texts[i] for i in order]
+            truth = np.array([self.labels.index(names[i]) for i in order], np.int64)
+            for a, b in cuts(shuffled):
+                self._learn(shuffled[a:b], truth[a:b], rng, squares)
+
+    def _learn(self, texts: list[str], truth: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
+        """One pass over the texts of a cut."""
+        codes, starts, ends, doc = words_in(texts)
+        if not len(doc):
+            return
+        place, count = features(codes, starts, ends)
+        offset, truth, half = np.cumsum(count) - count, truth[doc], SEQUENCE // 2
+        # Pieces of half a sequence; the last one of a text may be shorter.
+        within = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        begin = np.flatnonzero(within % half == 0)
+        size = np.diff(np.append(begin, len(doc)))
+        follows = np.append(doc[begin[1:]] == doc[begin[:-1]], False)
+        mate = np.where(follows, np.arange(len(begin)) + 1, np.arange(len(begin)))
+        mixed = rng.random(len(begin)) < 1 / 3
+        mate[mixed] = rng.integers(0, len(begin), int(mixed.sum()))
+        both = np.where(mate == np.arange(len(begin)), 0, size[mate])  # a piece without a mate stands alone
+        order = rng.permutation(len(begin))
+        for i in range(0, len(order), BATCH):
+            rows = order[i : i + BATCH]
+            n = size[rows] + both[rows]
+            words = np.zeros((len(rows), n.max()), np.int64)
+            there = np.arange(n.max()) < n[:, None]
+            first = np.arange(n.max()) < size[rows][:, None]
+            words[first] = spread(begin[rows], size[rows])
+            words[there & ~first] = spread(begin[mate[rows]], both[rows])
+            flat = words[there]
+            at = place[spread(offset[flat], count[flat])]
+            emit = np.zeros((*words.shape, len(self.labels)))
+            emit[there] = self.scores(at, count[flat])
+            got, pairs = self._expected(emit, there)
+            gold = truth[words]
+            wrong = -got
+            np.put_along_axis(wrong, gold[:, :, None], 1 + np.take_along_axis(wrong, gold[:, :, None], 2), 2)
+            moved, linked = -pairs, there[:, 1:]
+            np.add.at(moved, (gold[:, :-1][linked], gold[:, 1:][linked]), 1)
+            push = np.zeros_like(squares[0])
+            np.add.at(push, at, np.repeat(wrong[there], count[flat], 0))
+            for x, g, s in zip((self.weights, self.first, self.pairs), (push, wrong[:, 0].sum(0), moved), squares, strict=True):
+                g = g / len(rows)
+                s += g * g
+                x += (STEP * g / np.sqrt(s)).astype(x.dtype) * 0.1
+
+    def _expected(self, emit: np.ndarray, there: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Label probabilities of each word, and expected label pairs, of sequences; ``there``: where their words stand."""
         e = np.exp(emit - emit.max(2, keepdims=True))
         a = np.exp(self.pairs - self.pairs.max())
         n, t, k = e.shape
+        there = np.ones((n, t), bool) if there is None else there
         ahead, back = np.empty_like(e), np.ones_like(e)
         x = np.exp(self.first - self.first.max()) * e[:, 0]
         ahead[:, 0] = x / x.sum(1, keepdims=True)
         for i in range(1, t):
             x = (ahead[:, i - 1] @ a) * e[:, i]
-            ahead[:, i] = x / x.sum(1, keepdims=True)
+            ahead[:, i] = np.where(there[:, i, None], x / x.sum(1, keepdims=True), ahead[:, i - 1])
         for i in range(t - 2, -1, -1):
             x = (back[:, i + 1] * e[:, i + 1]) @ a.T
-            back[:, i] = x / x.sum(1, keepdims=True)
-        got = ahead * back
-        got /= got.sum(2, keepdims=True)
+            back[:, i] = np.where(there[:, i + 1, None], x / x.sum(1, keepdims=True), back[:, i + 1])
+        got = ahead * back * there[:, :, None]
+        got /= np.maximum(got.sum(2, keepdims=True), 1e-300)
         pair = ahead[:, :-1, :, None] * a * (e * back)[:, 1:, None, :]
         pair /= pair.sum((2, 3), keepdims=True)
-        return got, pair.sum((0, 1))
+        return got, (pair * there[:, 1:, None, None]).sum((0, 1))
 
     def marginals(self, emit: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Label probabilities of every word of many texts of any length, by forward-backward.
@@ -225,21 +243,17 @@ def learn(docs: DataFrame) -> Chain:
     """The field, from the bounded sample of labelled rows that are not held out."""
     pool = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     hashed = F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(8))
-    picked = (
-        pool.select("doc_id", "lang")
-        .groupBy("lang", F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(LANG_DOCS)).alias("part"))
-        .agg(F.min_by("doc_id", hashed).alias("doc_id"))
-        .select("lang", "doc_id")
-    )
-    drawn = F.pmod(hashed, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)).cast("bigint")).cast("int") + 1
-    # At most LANG_DOCS rows a language are broadcast, and that many pieces of text collected.
-    rows = (
+    picked = stored(
         pool.filter(F.col("text").isNotNull())
-        .join(F.broadcast(picked), ["lang", "doc_id"], "left_semi")
-        .groupBy("lang", "doc_id")
-        .agg(F.min(F.col("text").substr(drawn, F.lit(SAMPLE_CHARS))).alias("text"))
-        .collect()
+        .groupBy("lang", F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(LANG_DOCS)).alias("part"))
+        .agg(F.min_by("doc_id", hashed).alias("doc_id"), F.count("*").alias("rows")),
+        "language-rows",
     )
+    langs = [r["lang"] for r in picked.groupBy("lang").agg(F.sum("rows").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()]
+    each = TOTAL_DOCS // max(len(langs), TOTAL_DOCS // LANG_DOCS)
+    picked = picked.filter(F.col("lang").isin(langs) & (F.col("part") < each)).select("lang", "doc_id")
+    # At most TOTAL_DOCS rows are broadcast, and that many texts collected.
+    rows = pool.join(F.broadcast(picked), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
     chain = Chain(sorted({r["lang"] for r in rows}))
     chain.fit([r["text"] for r in rows], [r["lang"] for r in rows])

@@ -2,21 +2,28 @@
 
 Each rule votes good (1), bad (-1) or abstains (0).  The rows of every combination of votes are counted
 (at most 3 ** rules combinations, whatever the input), expectation-maximisation estimates from those
-counts how often each rule is right about good and about bad documents, and a document's posterior
+counts how often each rule is right about documents of each class, and a document's posterior
 probability of being good decides.  A document over the hard limits of the base rule never passes.
 
+Bad documents show one fault or another, seldom all of them: there is a class of bad documents for each
+rule, the one whose fault that rule is made to see, and what the other rules say about it is learned.  So
+good votes of rules that a fault does not touch do not outvote the one that sees it.  All accuracies are
+free; a rule that never meets another one's votes cannot be judged by counts and stays near its prior.
+
 Defined cases: a null or empty text has no words and fails the base rule; an empty table gives an empty
-result with the prior accuracies; repeated rows get equal results; other columns are not read.
+result with the prior accuracies; repeated rows get equal results; a text of any length is counted with
+full 64-bit hashes; other columns, whatever their names, are not read and pass ``keep_good`` as they are.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, stored, words_of
+from .common import SPACE_CHARS, added, stored, with_row, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -30,11 +37,9 @@ RULES = (
     ("word_size", "odd_word_size", 1.0, 4.0, True),
     ("shouting", "caps_share", 0.12, 0.5, True),
 )
-EM_ROUNDS, PRIOR_GOOD, PRIOR_WEIGHT = 40, 0.8, 20.0
-#: A rule is made to be right about good documents, nearly always; but a bad one shows few of all faults.
-#: The bounds hold the estimates to that: unbounded, EM takes one common fault for the class of bad documents.
-PRIOR_RIGHT = (0.99, 0.2)
-RIGHT_WITHIN = ((0.99, 0.999), (0.02, 0.99))
+EM_ROUNDS, PRIOR_GOOD, PRIOR_WEIGHT = 200, 0.8, 20.0
+#: How often a rule that votes is expected to vote good, on documents without its fault and with it.
+VOTES_GOOD = (0.99, 0.02)
 KEEP_FROM = 0.5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -47,8 +52,8 @@ def _joined(left: Column, right: Column, step: int) -> Column:
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts of the base rule and the capital letters of each text.
 
-    Repeats within a text are found by sorting its window hashes, each packed with its place into one
-    long (as many low bits as the places need), and comparing neighbours: linear memory, no pair loops.
+    Repeats within a text are found by sorting its window hashes with their places and comparing
+    neighbours: linear memory, no pair loops.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("__text", text)
@@ -63,29 +68,24 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("n_symbols", F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("bigint"))
         .withColumn("n_caps", F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("bigint"))
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"))
-        .withColumn("__bits", F.length(F.bin(F.col("n_words"))))
     )
-    low = F.expr("shiftleft(1L, __bits) - 1")
     w = F.col("__words")
     out = out.withColumn("__pairs", _joined(w, w, 1)).withColumn("__fours", _joined(F.col("__pairs"), F.col("__pairs"), 2))
     hashes = _joined(F.col("__fours"), w, 4)
-    packed = F.transform(
-        F.col("__hash"), lambda x, i: x.bitwiseAND(F.bitwise_not(F.col("__low"))).bitwiseOR(i.cast("bigint"))
-    )
-    none = F.array().cast("array<bigint>")
+    placed = F.transform(F.col("__hash"), lambda x, i: F.struct(x.alias("h"), i.cast("bigint").alias("i")))
+    none = F.array().cast("array<struct<h:bigint,i:bigint>>")
     out = (
-        out.withColumn("__low", low)
-        .withColumn("__hash", F.slice(hashes, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))))
+        out.withColumn("__hash", F.slice(hashes, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))))
         .withColumn("__again", F.size(F.array_distinct("__hash")) < F.size("__hash"))
-        .withColumn("__packed", F.when(F.col("__again"), F.sort_array(packed)).otherwise(none))
+        .withColumn("__placed", F.when(F.col("__again"), F.sort_array(placed)).otherwise(none))
     )
-    p = F.col("__packed")
+    p = F.col("__placed")
 
-    def same(x: Column, y: Column) -> Column:
-        return F.coalesce(x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(F.col("__low"))) == 0, F.lit(False))
+    def same(x: Column, i: Column) -> Column:
+        return F.coalesce(x["h"] == F.get(p, i)["h"], F.lit(False))
 
-    twice = F.filter(p, lambda x, i: same(x, F.get(p, i + 1)) | same(x, F.get(p, i - 1)))
-    out = out.withColumn("__at", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("__low")))))
+    twice = F.filter(p, lambda x, i: same(x, i + 1) | same(x, i - 1))
+    out = out.withColumn("__at", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(
         F.col("__at"),
         F.struct(F.lit(-WINDOW).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n")),
@@ -93,7 +93,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc: acc["n"],
     )
     return out.withColumn("n_repeat_words", covered).drop(
-        "__text", "__strings", "__words", "__pairs", "__fours", "__lines", "__bits", "__low", "__hash", "__again", "__packed", "__at"
+        "__text", "__strings", "__words", "__pairs", "__fours", "__lines", "__hash", "__again", "__placed", "__at"
     )
 
 
@@ -123,49 +123,40 @@ def voted(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def estimate(
-    patterns: list[tuple[tuple[int, ...], int]], within: tuple[tuple[float, float], ...] = RIGHT_WITHIN
-) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good documents, and each rule's accuracy on good and on bad ones, by EM.
+#: The share of each class, and the probability that each rule votes good on it where it votes: the first class is good.
+Model = tuple[np.ndarray, np.ndarray]
+
+
+def prior(rules: int = len(RULES)) -> Model:
+    """Good documents, and one class of bad ones for each rule."""
+    usual, faulty = VOTES_GOOD
+    votes = np.full((rules + 1, rules), usual)
+    votes[np.arange(rules) + 1, np.arange(rules)] = faulty
+    return np.array([PRIOR_GOOD] + [(1 - PRIOR_GOOD) / rules] * rules), votes
+
 
-    ``patterns``: every combination of votes that occurs, with its number of rows.  The prior counts
-    as PRIOR_WEIGHT rows a rule and class; ``within`` bounds the accuracies on good and on bad documents.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], start: Model | None = None) -> Model:
+    """Shares of the classes and the rules' votes on each, by EM from ``start``, which counts as PRIOR_WEIGHT rows a class.
+
+    ``patterns``: every combination of votes that occurs, with its number of rows.  An abstention says nothing.
     """
-    good, right = PRIOR_GOOD, [PRIOR_RIGHT] * len(RULES)
-    for _ in range(EM_ROUNDS):
-        total = mass = 0.0
-        hits = [[0.0, 0.0, 0.0, 0.0] for _ in RULES]
-        for votes, n in patterns:
-            p = posterior(votes, good, right)
-            total, mass = total + n, mass + n * p
-            for j, v in enumerate(votes):
-                if v:
-                    hits[j][0] += n * p * (v > 0)
-                    hits[j][1] += n * p
-                    hits[j][2] += n * (1 - p) * (v < 0)
-                    hits[j][3] += n * (1 - p)
-        if not total:
-            break
-        good = min(0.99, max(0.01, mass / total))
-        right = [
-            tuple(
-                min(most, max(least, (h[2 * k] + PRIOR_WEIGHT * PRIOR_RIGHT[k]) / (h[2 * k + 1] + PRIOR_WEIGHT)))
-                for k, (least, most) in enumerate(within)
-            )
-            for h in hits
-        ]
-    return good, right
-
-
-def _weights(good: float, right: list[tuple[float, float]]) -> tuple[float, list[tuple[float, float]]]:
-    """Log odds of being good: of the prior, and of each rule's good and bad vote."""
-    return math.log(good / (1 - good)), [(math.log(a / (1 - b)), math.log((1 - a) / b)) for a, b in right]
-
-
-def posterior(votes: tuple[int, ...], good: float, right: list[tuple[float, float]]) -> float:
-    base, by_rule = _weights(good, right)
-    odds = base + sum(up if v > 0 else down if v < 0 else 0.0 for v, (up, down) in zip(votes, by_rule, strict=True))
-    return 1 / (1 + math.exp(-odds))
+    start = prior() if start is None else start
+    share, good = start
+    votes = np.array([v for v, _ in patterns]).reshape(-1, good.shape[1])
+    n = np.array([c for _, c in patterns], float)
+    for _ in range(EM_ROUNDS if len(patterns) else 0):
+        mass = _classes(votes, share, good) * n[:, None]
+        up, all_ = mass.T @ (votes > 0), mass.T @ (votes != 0)
+        share = (mass.sum(0) + PRIOR_WEIGHT * start[0]) / (n.sum() + PRIOR_WEIGHT)
+        good = (up + PRIOR_WEIGHT * start[1]) / (all_ + PRIOR_WEIGHT)
+    return share, good
+
+
+def _classes(votes: np.ndarray, share: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Probability of each class for each combination of votes."""
+    odds = np.log(share) + (votes > 0) @ np.log(good).T + (votes < 0) @ np.log1p(-good).T
+    p = np.exp(odds - odds.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
 def judged(df: DataFrame) -> DataFrame:
@@ -173,16 +164,17 @@ def judged(df: DataFrame) -> DataFrame:
 
     Only the counts of vote combinations reach the driver: at most 3 ** len(RULES) rows.
     """
-    votes = [f"vote_{r[0]}" for r in RULES]
-    counts = df.groupBy(*votes).count().collect()
-    good, right = estimate(sorted((tuple(r[v] for v in votes), r["count"]) for r in counts))
-    base, by_rule = _weights(good, right)
-    odds = F.lit(base)
-    for v, (up, down) in zip(votes, by_rule, strict=True):
-        odds = odds + F.when(F.col(v) > 0, F.lit(up)).when(F.col(v) < 0, F.lit(down)).otherwise(F.lit(0.0))
-    return df.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)
-    )
+    names = [f"vote_{r[0]}" for r in RULES]
+    counts = df.groupBy(*names).count().collect()
+    share, good = estimate(sorted((tuple(r[v] for v in names), r["count"]) for r in counts))
+    against = F.lit(0.0)
+    for k in range(1, len(share)):
+        odds = F.lit(math.log(share[k] / share[0]))
+        for j, v in enumerate(names):
+            up, down = (float(np.log(x[k, j] / x[0, j])) for x in (good, 1 - good))
+            odds = odds + F.when(F.col(v) > 0, F.lit(up)).when(F.col(v) < 0, F.lit(down)).otherwise(F.lit(0.0))
+        against = against + F.exp(odds)
+    return df.withColumn("quality", 1 / (1 + against)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))
 
 
 def _with_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -202,4 +194,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     The rows are written once with their votes, so that no text is measured twice.
     """
-    return judged(stored(voted(measures(_with_lines(docs))), "quality-docs")).filter("kept").select(*docs.columns)
+    own = with_row(docs, "text").withColumnRenamed("__text", "text")
+    votes = voted(measures(_with_lines(own))).drop("text")
+    return added(judged(stored(votes, "quality-docs")).filter("kept"), docs)

@@ -6,7 +6,8 @@ the nearest complementary part on either side, as an interval join within the do
 reported only where one lies within ``SCOPE`` code points.
 
 Defined cases: a null text is empty; empty texts have no spans; repeated rows each get their own result;
-columns other than doc_id and text pass untouched where the caller keeps them.
+an empty table gives an empty one; work is near linear in a text of any length and any number of parts;
+other columns pass untouched (``scan`` replaces only those named as its two results).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import matches, no_matches, spans_text
+from .common import added, chunks, matches, no_matches, running, spans_text, with_row
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -48,33 +49,31 @@ def _ordered(spans: Column) -> Column:
 
 def _linked(parts: Column, forward: bool) -> Column:
     """Flags, in order, of the parts with a complementary part before them (or after) within the scope."""
-    far = F.lit(-(1 << 40)).cast("bigint")
-    state = F.struct(far.alias("secret"), far.alias("other"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near, edge = (x["s"], x["e"]) if forward else (-x["e"], -x["s"])
-        mine = x["kind"].isin(*SECRET_KINDS)
-        ok = near - F.when(mine, acc["other"]).otherwise(acc["secret"]) <= SCOPE
-        return F.struct(
-            F.when(mine, F.greatest(acc["secret"], edge)).otherwise(acc["secret"]).alias("secret"),
-            F.when(mine, acc["other"]).otherwise(F.greatest(acc["other"], edge)).alias("other"),
-            F.concat(acc["out"], F.array(ok)).alias("out"),
-        )
-
-    if forward:
-        return F.aggregate(parts, state, step, lambda acc: acc["out"])
-    return F.reverse(F.aggregate(F.reverse(parts), state, step, lambda acc: acc["out"]))
+    far = -(1 << 40)
+    ordered = parts if forward else F.reverse(parts)
+
+    def reach(secret: bool) -> Column:
+        """How far the parts of one role reach, up to each part."""
+        mine = (lambda x: x["kind"].isin(*SECRET_KINDS)) if secret else (lambda x: ~x["kind"].isin(*SECRET_KINDS))
+        edges = F.transform(ordered, lambda x: F.when(mine(x), x["e"] if forward else -x["s"]).otherwise(F.lit(far)))
+        return running(edges, F.greatest, far)
+
+    both = F.zip_with(reach(True), reach(False), lambda a, b: F.struct(a.alias("secret"), b.alias("other")))
+    flags = F.zip_with(
+        ordered,
+        both,
+        lambda x, r: (x["s"] if forward else -x["e"]) - F.when(x["kind"].isin(*SECRET_KINDS), r["other"]).otherwise(r["secret"]) <= SCOPE,
+    )
+    return flags if forward else F.reverse(flags)
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``secret_base`` and ``secret_spans``: arrays of (s, o, e, kind), ordered.
+def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
+    """__row, __text, __base and __spans: the spans are arrays of (s, o, e, kind), ordered.
 
     Parts are looked for only in texts that hold their fixed characters; the patterns decide.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    low = F.col("__low")
-    out = docs.withColumn("__text", text).withColumn("__low", F.lower(F.col("__text")))
-    text = F.col("__text")
+    out = with_row(docs, text_col).withColumn("__low", F.lower("__text"))
+    text, low = F.col("__text"), F.col("__low")
 
     def found(when: Column, pattern: str, kind: str, group: int | None = None, least: int = 1) -> Column:
         hits = matches(text, pattern, kind, group)
@@ -115,11 +114,13 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ),
         lambda p: p["x"],
     )
-    return (
-        out.withColumn("secret_base", F.col("__base"))
-        .withColumn("secret_spans", F.when(weak, kept).otherwise(F.col("__base")))
-        .drop("__base", "__parts", "__text", "__low")
-    )
+    spans = F.when(weak, kept).otherwise(F.col("__base"))
+    return out.select("__row", "__text", "__base", spans.alias("__spans"))
+
+
+def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``secret_base`` and ``secret_spans``: arrays of (s, o, e, kind), ordered."""
+    return added(_scanned(docs, text_col), docs, secret_base=F.col("__base"), secret_spans=F.col("__spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -139,40 +140,44 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
     """``docs`` with every reported secret replaced by ``mark``; overlapping spans become one.
 
-    Accounts and endpoints are context, not secrets: they stay.
+    Accounts and endpoints are context, not secrets: they stay.  ``length_col`` names a column that holds
+    the text's length, if it is to follow; all other columns stay as they are.
     """
-    schema = docs.columns
-    found = scan(docs, text_col)
-    hide = F.filter("secret_spans", lambda x: x["kind"].isin("assign", "access", "hex", "hinted"))
-    text = F.col(text_col)
-    folded = F.aggregate(
-        F.col("__hide"),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.when(
-            x["s"] >= acc["at"],
-            F.struct(
-                x["e"].alias("at"),
-                F.concat(
-                    acc["out"], F.array(text.substr((acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), F.lit(mark))
-                ).alias("out"),
+    found = _scanned(docs, text_col)
+    text, hide = F.col("__text"), F.col("__hide")
+    found = found.withColumn("__hide", F.filter("__spans", lambda x: x["kind"].isin("assign", "access", "hex", "hinted")))
+    # Each span with the end of all before it: what lies between is kept, and a span that begins earlier joins the last.
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), running(F.transform(hide, lambda x: x["e"]), F.greatest))
+    steps = F.zip_with(hide, F.slice(ends, 1, F.size(hide)), lambda x, e: F.struct(x["s"].alias("s"), x["e"].alias("e"), e.alias("at")))
+
+    def between(part: Column, at: Column, end: Column) -> Column:
+        return part.substr((at + 1).cast("int"), F.greatest(end - at, F.lit(0)).cast("int"))
+
+    def clean(chunk: Column) -> Column:
+        # A slice of spans reads from its own part of the text, so that places are counted from near by.
+        first, last = F.get(chunk, 0)["at"], F.get(chunk, F.size(chunk) - 1)
+        own = F.array(F.struct(between(text, first, F.greatest(last["s"], last["at"])).alias("t"), first.alias("b"), chunk.alias("c")))
+        pieces = F.transform(
+            own,
+            lambda o: F.array_join(
+                F.transform(o["c"], lambda x: F.when(x["s"] >= x["at"], F.concat(between(o["t"], x["at"] - o["b"], x["s"] - o["b"]), F.lit(mark))).otherwise(F.lit(""))),
+                "",
             ),
-        ).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))),
-    )
-    clean = F.concat(
-        F.array_join(F.col("__folded")["out"], ""),
-        text.substr((F.col("__folded")["at"] + 1).cast("int"), F.length(text)),
-    )
-    out = (
-        found.withColumn("__hide", hide)
-        .withColumn("__folded", F.when(F.size("__hide") > 0, folded))
-        .withColumn(text_col, F.when(F.size("__hide") > 0, clean).otherwise(text))
+        )
+        return F.get(pieces, 0)
+
+    tail = text.substr((F.array_max(F.transform(hide, lambda x: x["e"])) + 1).cast("int"), F.length(text))
+    found = found.withColumn("__steps", steps).withColumn(
+        "__clean", F.when(F.size(hide) > 0, F.concat(F.array_join(F.transform(chunks(F.col("__steps")), clean), ""), tail))
     )
-    if "n_chars" in schema:
-        out = out.withColumn("n_chars", F.when(F.size("__hide") > 0, F.length(text_col).cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*schema)
+    new = {text_col: F.coalesce(F.col("__clean"), F.col("__row")[text_col])}
+    if length_col:
+        own = F.col("__row")[length_col]
+        new[length_col] = F.when(F.col("__clean").isNotNull(), F.length("__clean").cast(docs.schema[length_col].dataType)).otherwise(own)
+    return added(found, docs, **new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sql() -> str:

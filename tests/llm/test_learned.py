@@ -101,6 +101,38 @@ def test_languages_of_held_out_texts(spark):
     assert language_id.digest(nothing.limit(0)).count() == 0
 
 
+def test_a_language_of_short_texts_only_is_learned(spark):
+    words = {"en": "the of and to in is that with for on", "fr": "le la les de des et que pour dans une"}
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(n)), lang) for i, (lang, n) in enumerate([("en", 60), ("fr", 12)] * 100)]
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(out[i] == lang for i, _, lang in rows) >= 198
+
+
+def test_masked_sequences_are_exact():
+    chain = language_id.Chain(["a", "b", "c"])
+    rng = np.random.default_rng(5)
+    chain.pairs, chain.first = rng.normal(size=(3, 3)), rng.normal(size=3)
+    emit = rng.normal(size=(2, 6, 3))
+    there = np.array([[True] * 6, [True] * 4 + [False] * 2])
+    got, pairs = chain._expected(emit, there)
+    one, two = chain._expected(emit[:1]), chain._expected(emit[1:, :4])
+    assert np.allclose(got[0], one[0][0]) and np.allclose(got[1, :4], two[0][0]) and not got[1, 4:].any()
+    assert np.allclose(pairs, one[1] + two[1])
+
+
+def test_languages_of_odd_tables(spark):
+    clash = ["lang_pred", "score", "held_out", "part", "rows"]
+    rows = [(i, "the of and to in is" if i % 2 else "le la les de des", "en" if i % 2 else "fr", *["x"] * 5) for i in range(40)]
+    rows += [(7, rows[7][1], "en", *["x"] * 5), (90, None, "en", *["x"] * 5), (91, "?!", None, *["x"] * 5), (None, "the of and", "fr", *["x"] * 5)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, " + ", ".join(f"{c} string" for c in clash))
+    kept = language_id.keep_known(df)
+    assert kept.columns == df.columns and kept.count() == len(rows) - 2
+    assert {r["score"] for r in kept.collect()} == {"x"}
+    assert language_id.keep_known(df.limit(0)).count() == 0
+    assert [f.name for f in language_id.digest(df).schema] == ["doc_id", "held_out", "lang_pred", "score"]
+
+
 def plain_spans(t):
     digits = lambda x: re.sub("[^0-9]", "", x)
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -126,6 +158,73 @@ def test_labels_agree_over_a_document():
     assert personal_data.find(None) == personal_data.find("") == ([], [])
 
 
+def test_added_spans_on_texts_unlike_the_lessons():
+    """Precision and recall of the mentions that the field adds, on sentences of another make."""
+    rng = random.Random(77)
+    hit = said = true = 0
+    for _ in range(400):
+        a, b, c = rng.randint(200, 989), rng.randint(200, 989), rng.randint(1000, 9999)
+        bare = rng.choice([f"{a} {b} {c}", f"{a}-{b}-{c}", f"{a}{b}{c}"])
+        about = rng.choice(["Dr. Meyer sees patients on Monday", "The annual meeting took place", "Le magasin est ouvert", "We ship every day"])
+        if rng.random() < 0.5:
+            text = f"{about}; reach us at +1 ({a}) {b}-{c}. {about} and again {bare} please. " + f"{about} or {bare}. " * rng.randint(0, 6)
+            want = {m.span() for m in re.finditer(re.escape(bare), text)}
+        else:
+            text = f"{about}; see order {bare} or page {rng.randint(1, 99)}, batch {rng.randint(10**7, 10**9)}. {about}."
+            want = set()
+        base, both = personal_data.find(text)
+        added = {(s, e) for _, s, e in both if (s, e) not in {(s, e) for _, s, e in base}}
+        hit, said, true = hit + len(added & want), said + len(added), true + len(want)
+    assert hit >= 0.95 * said and hit >= 0.95 * true, (hit / said, hit / true)
+
+
+def test_personal_data_of_odd_tables(spark):
+    rows = [(1, "mail a@b.c or 10.0.0.1", "x"), (1, "mail a@b.c or 10.0.0.1", "x"), (None, "+1 (743) 555-3824", "y"), (2, None, "z"), (3, "", None), (4, "5 " * 60_000 + "a@b.c", "l")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n_email string").withColumnRenamed("n_email", "spans")
+    out = personal_data.digest(df).collect()
+    assert len(out) == 6 and [r["n_email"] for r in out if r["doc_id"] == 1] == [1, 1] and [r["n_ip"] for r in out if r["doc_id"] == 1] == [1, 1]
+    assert {r["doc_id"]: r["spans"] for r in out if r["doc_id"] in (None, 2, 3, 4)} == {None: "phone:0:17", 2: "", 3: "", 4: "email:120000:120005"}
+    assert personal_data.digest(df.limit(0)).count() == 0
+
+
+def test_round_trips_of_odd_tables(spark):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs = Tokenizer.from_file(path)
+    rows = [(i, t, "x") for i, t in enumerate([*odd_texts(200), None])] + [(1, "  a  b", "x"), (None, "null id", "x")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n_tokens string")
+    want = []
+    for i, t, _ in rows:
+        ids = theirs.encode(t or "", add_special_tokens=False).ids
+        text = theirs.decode(ids, skip_special_tokens=False)
+        want.append((str(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    out = [(str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trips(df, path).collect()]
+    assert sorted(out) == sorted(want)
+    assert bpe.round_trips(df.limit(0), path).count() == 0
+
+
+def test_pieces_equal_the_library(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    theirs = Tokenizer.from_file(path)
+    rows = [(i, t, "x", "y") for i, t in enumerate([*odd_texts(150), None, "long " * 9000])]
+    df = spark.createDataFrame(rows, "doc_id int, text string, piece string, length string")
+    want = []
+    for i, t, *_ in rows:
+        ids = [*theirs.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, s in enumerate(range(0, len(ids), 2048)):
+            part = ids[s : s + 2048]
+            want.append((i, k, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    out = packing.pack(df, path).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == sorted(want)
+
+
 def test_labels_agree_over_many_repeats():
     bare, exact = "then the number 415 555 1234 again with words between here; ", "call +1 (415) 555-1234 now and wait a while; "
     text = "so it is " + bare * 50 + exact + bare * 50

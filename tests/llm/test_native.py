@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,9 +122,19 @@ def test_em_finds_the_accuracies():
             0 if rng.random() < 0.2 else (1 if good else -1) * (1 if rng.random() < a[0 if good else 1] else -1) for a in right
         )
         counts[votes] = counts.get(votes, 0) + 1
-    share, found = quality.estimate(sorted(counts.items()), ((0.6, 0.999), (0.02, 0.99)))
-    assert abs(share - 0.7) < 0.05
-    assert all(abs(x - y) < 0.08 for a, b in zip(found, right, strict=True) for x, y in zip(a, b, strict=True))
+    two = np.array([0.8, 0.2]), np.array([[0.99] * 6, [0.8] * 6])  # all bad documents in one class, as they are here
+    share, found = quality.estimate(sorted(counts.items()), two)
+    assert abs(share[0] - 0.7) < 0.05
+    assert all(abs(found[0, j] - a) < 0.08 and abs(1 - found[1, j] - b) < 0.08 for j, (a, b) in enumerate(right))
+
+
+def test_em_drops_the_trust_in_a_rule_that_others_contradict():
+    good, junk = (1, 1, 1, 1, 1, 1), (1, -1, -1, 1, -1, -1)
+    alone = (1, 1, 1, -1, 1, 1)  # the fourth rule fires on a third of documents that all others find good
+    share, votes = quality.estimate(sorted({good: 6000, junk: 800, alone: 200}.items()))
+    p = dict(zip((good, junk, alone), quality._classes(np.array([good, junk, alone]), share, votes)[:, 0], strict=True))
+    assert p[good] > 0.95 and p[junk] < 0.05
+    assert abs(share.sum() - 1) < 1e-9 and quality.estimate([])[0][0] == quality.PRIOR_GOOD
 
 
 def test_one_clear_fault_is_enough(spark):
@@ -138,8 +149,26 @@ def test_one_clear_fault_is_enough(spark):
     assert kept == set(range(300))
 
 
-def test_clashing_columns_pass_through(docs):
-    assert quality.keep_good(docs.select("doc_id", "text", F.col("kept").alias("source"))).columns == ["doc_id", "text", "source"]
+def prose(seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(80))
+
+
+CLASHING = ["kept", "n_words", "n_lines", "quality", "n_chars", "license", "license_score", "secret_base", "__text", "__row", "__base", "spans", "word_chars", "a.b"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents whose other columns bear the names that operators use."""
+    rows = [(i, prose(i) + (" password=abcdefgh99" if i == 3 else ""), *[f"{c}-{i}" for c in CLASHING]) for i in range(12)] + [(50, None, *[None] * len(CLASHING))]
+    return spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{c}` string" for c in CLASHING]]))
+
+
+def test_clashing_columns_pass_through(clashing):
+    kept = quality.keep_good(clashing)
+    assert kept.columns == clashing.columns
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in clashing.collect() if r["doc_id"] != 50}
+    assert quality.keep_good(clashing.limit(0)).count() == 0
 
 
 SECRET = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -178,3 +207,53 @@ def test_weak_parts_need_a_partner(spark):
     assert kinds == {0: ["account", "hinted"], 1: [], 2: [], 3: [], 4: ["endpoint", "assign"], 5: []}
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
     assert clean[0] == "login: bob then [SECRET]" and clean[1] == texts[1] and clean[4] == "https://db.example.com/x [SECRET]"
+
+
+def test_secrets_keep_clashing_columns(clashing):
+    got = {r["doc_id"]: r for r in secrets.redact(clashing).collect()}
+    assert secrets.redact(clashing).columns == clashing.columns and len(got) == 13
+    for r in clashing.collect():
+        want = r.asDict() | ({"text": prose(3) + " [SECRET]"} if r["doc_id"] == 3 else {})
+        assert got[r["doc_id"]].asDict() == want
+    found = secrets.scan(clashing)
+    assert sorted(found.columns) == sorted({*clashing.columns, "secret_base", "secret_spans"})
+    assert {r["doc_id"]: len(r["secret_spans"]) for r in found.collect()} == {r: int(r == 3) for r in got}
+    assert secrets.redact(clashing.limit(0)).count() == secrets.scan(clashing.limit(0)).count() == 0
+    sized = secrets.redact(clashing.select("doc_id", "text", F.length("text").alias("n")), length_col="n").collect()
+    assert all(r["n"] == (len(r["text"]) if r["text"] is not None else None) for r in sized)
+
+
+def plain_redacted(text, found):
+    out, at = "", 0
+    for kind, s, e in found:
+        if kind in ("account", "endpoint"):
+            continue
+        if s >= at:
+            out, at = out + text[at:s] + "[SECRET]", e
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_redaction_of_overlapping_and_very_many_spans(spark):
+    rng = random.Random(12)
+    bits = ["password=", "token: ", "AKIA" + "Z9" * 8, "0123456789abcdef" * 2, "é😀", " login=bob ", " pwd=hunter2hunter2 ", "https://a.b/c", "x", "\n", " y" * 150]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    texts += ["é token=abcdefgh login: bob\n" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(x["kind"], x["s"], x["e"]) for x in r["secret_spans"]] for r in secrets.scan(df).collect()}
+    for r in secrets.redact(df).collect():
+        assert r["text"] == plain_redacted(texts[r["doc_id"]], found[r["doc_id"]])
+
+
+def test_a_megabyte_of_credentials_is_near_linear(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, "user: bob token=abcdefghij12 \n" * n)], "doc_id long, text string")
+        began = time.time()
+        assert secrets.digest(df).first()["n_assign"] == n
+        assert secrets.redact(df).first()["text"].count("[SECRET]") == n
+        return time.time() - began
+
+    took(100)
+    assert took(32_000) < 40
