@@ -48,8 +48,6 @@ VARIANTS = {
     "y": ["i", "y"],
     "v": ["v", "u"],
 }
-#: Two-character finals, tried only on request.
-VARIANTS_OF_TWO = {"ch": ["t", "ś"], "ai": ["e", "ai"], "au": ["o", "au"]}
 #: Preverbs, in the order they are stripped.
 PREFIXES = [
     "sam", "saṃ", "anu", "abhi", "ati", "adhi", "apa", "api", "ava", "ā", "a", "ud", "upa", "nis", "parā", "pari",
@@ -72,6 +70,25 @@ FILTERED = ["ca", "na", "eva", "ni", "apya", "ava", "sva"]
 SAM = {"sam": "saṃ", "saṃ": "sam", "saṅ": "saṃ", "san": "saṃ", "sañ": "saṃ"}
 #: Segment endings that make a split less likely.
 PENALTIES = {"ka": 0.5, "sa": 0.3}
+#: Forms of the abstract noun in -tva -> ending that its base takes in the same case.
+ABSTRACT = {
+    "tvam": "am",
+    "tvena": "ena",
+    "tvāya": "āya",
+    "tvāt": "āt",
+    "tvasya": "asya",
+    "tve": "e",
+    "tvābhyām": "ābhyām",
+    "tvayoḥ": "ayoḥ",
+    "tvāni": "āni",
+    "tvebhyaḥ": "ebhyaḥ",
+    "tvānām": "ānām",
+    "tveṣu": "eṣu",
+    "tva": "",
+    "tvā": "",
+}
+#: Stems that may stand, once or often, between a preverb and the stem that it is joined with.
+SKIPPED = {"sam": ["sa", "sam"], "anu": ["anu"], "ava": ["ava"]}
 #: Tags that a segmentation model may leave in its output.
 MODEL_TAGS = ["cp", "snf", "SNNe", "PNF", "SNM", "U", "SGNe", "SBM", "SNF", "ḷ"]
 MODEL_TASKS = {

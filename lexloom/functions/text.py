@@ -55,8 +55,9 @@ def normalise(text: Column, compat: bool = False) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-def preprocess(text: Column, most: int = 100, compat: bool = True) -> Column:
-    return normalise(truncate_ws(text, most), compat)
+def preprocess(text: Column, most: int | None = None, compat: bool = True) -> Column:
+    """The normalised text; only its first ``most`` characters, or so, where a phrase is to be cut."""
+    return normalise(text if most is None else truncate_ws(text, most), compat)
 
 
 def letters(text: Column) -> Column:
@@ -81,6 +82,24 @@ def nasal_candidates(word: Column) -> Column:
     return F.array_distinct(F.array(word, first, F.replace(first, F.lit("ṁ"), F.lit("ṃ"))))
 
 
+def restored_sibilant(word: Column) -> Column:
+    """A word in ch with ś for its first sound; null for others."""
+    return F.when(word.startswith("ch"), F.concat(F.lit("ś"), word.substr(2, 1 << 30)))
+
+
+def repaired_json(body: Column, schema: str) -> Column:
+    """The parsed text; if that fails, parsed with a closing quote (and what that leaves open closed); else null."""
+    strict = {"mode": "PERMISSIVE"}
+    marked = f"{schema}, __bad string"
+
+    def parsed(x: Column) -> Column:
+        got = F.from_json(x, marked, strict | {"columnNameOfCorruptRecord": "__bad"})
+        return F.when(got.isNotNull() & got["__bad"].isNull(), got)
+
+    tries = [body, F.concat(body, F.lit('"')), F.concat(body, F.lit('"}'))]
+    return F.coalesce(*[parsed(x) for x in tries]).dropFields("__bad")
+
+
 def explicit_parts(word: Column) -> Column:
     return F.filter(F.split(word, "[-+]"), lambda p: p != "")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, translit
 from ..sources.lexicon import Lexicon, headword_index
+from ..sources.stored import stored
 from . import candidates, lookup, records, segment
 
 MODES = ("detailed", "roots", "parts")
@@ -29,62 +30,89 @@ def analyse(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """w, rank, stem, model, analyses, cells, path, source for each distinct word (column ``w``).
 
     First forms over the ordered candidates (all at once, one join), then headwords, then segments of
-    what is left; what nothing resolves gets a row with source ``miss``.
+    what is left, joined with their preverbs and analysed in their turn; what nothing resolves gets a row with
+    source ``miss``.  Analyses of stripped preverbs stand before that of what they left; a headword that is not
+    its own first stem stands before all.  Work is on distinct words only, in stored tables beside the text.
     """
     fixed = words.select("w", F.explode(F.array_distinct(F.array(F.col("w"), text.fix_final(F.col("w"))))).alias("f"))
-    spelled = fixed.select("w", F.posexplode(text.nasal_candidates(F.col("f"))).alias("o", "f"))
+    again = F.array_compact(F.array(text.restored_sibilant(F.col("f"))))
+    spelled = fixed.select("w", F.posexplode(F.concat(text.nasal_candidates(F.col("f")), again)).alias("o", "f"))
     listed = spelled.select("w", "o", F.explode(candidates.candidates("f")).alias("x")).select("w", "o", "x.*")
     forms = lexicon.form_index.select("form").distinct().select(F.col("form").alias("headword"))
     swapped = forms.select(F.regexp_replace("headword", "ṃ$", "m").alias("headword")).unionByName(
         forms.select(F.regexp_replace("headword", "m$", "ṃ").alias("headword"))
     )
+    forms = stored(forms.unionByName(swapped).distinct(), "forms")
     order = listed.withColumn("rank", F.col("o").cast("bigint") * 2**32 + F.col("rank")).drop("o")
-    # Distinct words only, so these tables are small beside the text; each is read several times below.
-    hit = candidates.first_hit(order, forms.unionByName(swapped)).persist()
-    found = lookup.root_lookup(hit.select(F.col("cand").alias("w")).distinct(), lexicon.form_index, lexicon.paradigm)
-    found = lookup.expand_models(found, lexicon.type_map).withColumnRenamed("w", "cand")
-    by_form = hit.join(found, "cand").select(
-        "w", "stem", "model", "analyses", "cells", "path", F.when(F.col("kind_ord") == 0, "noun").otherwise("verb").alias("source"),
-        F.struct("kind_ord", "ord", "model", "stem").alias("o"),
-    ).persist()
+    hit = stored(candidates.first_hit(order, forms), "hits")
+
+    def looked_up(df: DataFrame) -> DataFrame:
+        """The analyses of the distinct words ``cand``."""
+        found = lookup.root_lookup(df.select(F.col("cand").alias("w")).distinct(), lexicon.form_index, lexicon.paradigm)
+        return lookup.expand_models(found, lexicon.type_map).withColumnRenamed("w", "cand")
+
+    stripped = hit.select("w", "path", F.posexplode("path").alias("n", "p"))
+    stripped = stripped.select("w", "path", "n", F.when(F.col("p") == "ud", "ut").otherwise(F.col("p")).alias("cand"))
+    asked = hit.select("w", "path", F.size("path").alias("n"), "cand").unionByName(stripped)
+    kind = F.when(F.col("kind_ord") == 0, "noun").otherwise("verb")
+    fields = ["w", "stem", "model", "analyses", "cells", "path"]
+    place = F.struct("n", "kind_ord", "ord", "model", "stem").alias("o")
+    by_form = stored(asked.join(looked_up(asked), "cand").select(*fields, kind.alias("source"), place), "by-form")
     rest = words.join(by_form.select("w").distinct(), "w", "left_anti")
-    heads = lexicon.dict_entry.select("headword").distinct()
+    heads = stored(lexicon.dict_entry.select("headword").distinct(), "heads")
     exact = rest.join(heads, rest["w"] == heads["headword"]).select("w", F.col("headword").alias("stem"))
-    left = rest.join(exact.select("w"), "w", "left_anti")
-    cut = segment.segment_greedy(left, heads).filter(F.size("parts") > 0).select("w", F.posexplode("parts").alias("n", "stem")).persist()
+    left = stored(rest.join(exact.select("w"), "w", "left_anti"), "unknown")
+    cut = segment.segment_greedy(left, heads).filter(F.size("parts") > 0).select("w", F.posexplode("parts").alias("pos", "stem"))
+    cut = stored(candidates.inflect(stored(cut, "segments"), forms, ["w"]), "joined").select("w", F.col("pos").alias("n"), F.col("stem").alias("cand"))
+    resolved = candidates.root_cascade(cut.select(F.col("cand").alias("w")).distinct(), forms).select(F.col("w").alias("part"), "cand", "path")
+    resolved = stored(resolved.join(looked_up(resolved), "cand").drop("cand").withColumnRenamed("part", "cand"), "parts")
+    pieces = cut.join(resolved, "cand").select(*fields, F.lit("segment").alias("source"), place)
+    bare = cut.join(resolved.select("cand").distinct(), "cand", "left_anti").withColumnRenamed("cand", "stem")
     missing = left.join(cut.select("w").distinct(), "w", "left_anti").select("w", F.col("w").alias("stem"))
+    first = by_form.groupBy("w").agg(F.min_by("stem", "o").alias("stem")).filter("stem <> w")
+    promoted = first.join(heads, F.col("w") == F.col("headword")).select("w", F.col("w").alias("stem"))
 
     def plain(df: DataFrame, source: str, n) -> DataFrame:
         blank = {c: F.lit(None).cast(by_form.schema[c].dataType) for c in ("model", "analyses", "cells", "path")}
-        order_ = F.struct(F.lit(0).alias("kind_ord"), n.cast("int").alias("ord"), F.lit("").alias("model"), F.col("stem"))
+        none = F.lit(0).cast("int")
+        order_ = F.struct(n.cast("int").alias("n"), none.alias("kind_ord"), none.alias("ord"), F.lit("").alias("model"), F.col("stem"))
         return df.select("w", "stem", *[v.alias(k) for k, v in blank.items()], F.lit(source).alias("source"), order_.alias("o"))
 
     everything = (
-        by_form.unionByName(plain(exact, "dict", F.lit(0)))
-        .unionByName(plain(cut, "segment", F.col("n")))
+        by_form.unionByName(plain(promoted, "dict", F.lit(-1)))
+        .unionByName(plain(exact, "dict", F.lit(0)))
+        .unionByName(pieces)
+        .unionByName(plain(bare, "segment", F.col("n")))
         .unionByName(plain(missing, "miss", F.lit(0)))
     )
-    from pyspark.sql import Window
-
     ranked = everything.withColumn("rank", F.row_number().over(Window.partitionBy("w").orderBy("o")))
     return ranked.drop("o")
 
 
 def annotate(
-    docs: DataFrame, lexicon: Lexicon, mode: str = "detailed", dicts: list[str] | None = None, max_length: int | None = None
+    docs: DataFrame, lexicon: Lexicon, mode: str = "detailed", dicts: list[str] | None = None, max_length: int | None = None, clean: bool = True
 ) -> DataFrame:
     """Records of all documents (columns doc_id, text), each read whole or up to ``max_length`` characters.
 
     detailed: a row an analysis, with dictionary entries where ``dicts`` asks for them; roots: one line
-    of stems a document; parts: the component parts of each stem.
+    of stems a document; parts: the component parts of each stem.  ``clean`` rewrites the records in order:
+    repeated light words, stems in -n, preverbs before what they belong to.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     tokens = surface_tokens(docs, max_length=max_length)
     # Frequent words are analysed once: the join back is the only step that sees every token.
-    known = analyse(tokens.select(F.col("surface").alias("w")).distinct().persist(), lexicon)
+    known = stored(analyse(stored(tokens.select(F.col("surface").alias("w")).distinct(), "words"), lexicon), "known")
     rows = tokens.join(known, tokens["surface"] == known["w"]).drop("w").withColumn("found", F.col("source") != "miss")
     rows = rows.withColumn("stem", F.replace("stem", F.lit("-"), F.lit("")))
+    if clean:
+        heads = lexicon.dict_entry.select("headword").distinct()
+        placed = rows.withColumn("pos", F.struct("pos", "rank"))
+        new = records.cleaned(placed, heads, ["doc_id"]).withColumn("pos", F.col("pos")["pos"])
+        changed = F.col("replaced") | F.col("merged")
+        blank = [F.when(~changed, F.col(c)).alias(c) for c in ("model", "analyses", "cells")]
+        source = F.when(changed, "dict").otherwise(F.col("source")).alias("source")
+        rows = new.select("doc_id", "pos", "surface", "stem", *blank, "path", source, "rank", (F.col("found") | changed).alias("found"))
     if mode == "roots":
         return records.roots_text(records.long_enough(rows), ["doc_id"])
     if mode == "parts":
@@ -116,11 +144,19 @@ def dict_search(spark, words: list[str], lexicon: Lexicon, *dicts: str) -> DataF
 
 
 def register(spark) -> None:
-    """Register the SQL function lex_truncate, and the transliterator as lex_convert(text, source, target)."""
+    """SQL functions lex_truncate(t), lex_detect(t), lex_normalize(t), and lex_convert(text, source, target), the transliterator."""
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION lex_truncate(t STRING) RETURNS STRING RETURN {_sql_truncate()}")
+    for name, made in (("lex_detect", text.detect_scheme), ("lex_normalize", text.normalise)):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS STRING RETURN {_sql_of(spark, made)}")
     spark.udf.register("lex_convert", translit._convert)
 
 
+def _sql_of(spark, made) -> str:
+    """The SQL text of a column function of one text ``t``."""
+    plan = spark.range(0).select(F.lit("").alias("t")).select(made(F.col("t")).alias("x"))
+    return plan._jdf.queryExecution().analyzed().expressions().head().child().sql().replace("`", "")
+
+
 def _sql_truncate(most: int = 100) -> str:
     head = f"left(t, {most})"
     return (

@@ -113,15 +113,28 @@ def root_cascade(words: DataFrame, heads: DataFrame) -> DataFrame:
     return first_hit(listed, heads)
 
 
-#: Endings of the neuter abstract noun in -tva.
-ABSTRACT = ["tv" + end for end in "a am e āni ena ābhyām aiḥ āya ebhyaḥ āt asya ayoḥ ānām eṣu".split()]
+def abstract_bases(words: DataFrame, endings: DataFrame) -> DataFrame:
+    """w, form: what is left of an abstract noun in -tva, with the noun's own case ending, to be analysed in its place.
 
+    ``endings``: (suffix, ending).  The longest suffix counts; a base in -a takes the ending for its vowel,
+    others stay as they are; the bare suffix is no abstract noun.
+    """
+    hits = _ending(words, endings)
+    best = hits.groupBy("w").agg(F.max_by(F.struct("suffix", "ending"), F.length("suffix")).alias("x")).select("w", "x.*")
+    base = F.expr("left(w, length(w) - length(suffix))")
+    return best.select("w", F.when(base.endswith("a"), F.concat(F.expr("left(w, length(w) - length(suffix) - 1)"), "ending")).otherwise(base).alias("form"))
 
-def suffix_strip(words: DataFrame, suffixes: DataFrame, heads: DataFrame) -> DataFrame:
-    """w, base, suffix: the longest suffix (relation suffix) that leaves a headword."""
+
+def _ending(words: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """The words with every suffix (relation suffix, ...) that leaves something of them."""
     sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("w") - 1, _longest(suffixes, "suffix"))))
     ends = words.filter(F.length("w") > 1).select("w", sizes.alias("n")).select("w", F.expr("right(w, n)").alias("suffix"))
-    cut = ends.join(suffixes, "suffix").withColumn("base", F.expr("left(w, length(w) - length(suffix))"))
+    return ends.join(suffixes, "suffix")
+
+
+def suffix_strip(words: DataFrame, suffixes: DataFrame, heads: DataFrame) -> DataFrame:
+    """w, base, suffix: the longest suffix (relation suffix) that leaves a headword."""
+    cut = _ending(words, suffixes).withColumn("base", F.expr("left(w, length(w) - length(suffix))"))
     hits = cut.join(heads.select(F.col("headword").alias("base")).distinct(), "base")
     return hits.groupBy("w").agg(F.max_by(F.struct("base", "suffix"), F.length("suffix")).alias("x")).select("w", "x.*")
 
@@ -146,3 +159,20 @@ def rejoin_pairs(
     joined = tries.withColumn("joined", F.concat("spelling", "after")).join(heads.select(F.col("headword").alias("joined")).distinct(), "joined")
     best = joined.groupBy(*keys, "pos").agg(F.min_by("joined", "step").alias("joined"))
     return best
+
+
+def inflect(segments: DataFrame, forms: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments (``keys``, pos, stem) with joining prefixes and their successors made one where that resolves, from left to right.
+
+    ``forms``: the relation with the column headword that the search goes by.  Adds ``merged``.
+    """
+    from pyspark.sql import Window
+
+    from .records import merge_runs
+
+    after = segments.withColumn("after", F.lead("stem").over(Window.partitionBy(*keys).orderBy("pos")))
+    spellings = F.create_map(*[x for p in rules.JOINING for x in (F.lit(p), F.array(*[F.lit(s) for s in rules.JOINED_SPELLINGS.get(p, [p])]))])
+    tries = after.filter(F.col("stem").isin(rules.JOINING) & F.col("after").isNotNull())
+    tries = tries.select(F.explode(F.transform(F.try_element_at(spellings, F.col("stem")), lambda x: F.concat(x, "after"))).alias("w")).distinct()
+    known = root_cascade(tries, forms).select(F.col("w").alias("headword"))
+    return merge_runs(segments, known, keys, rules.JOINING, spelled=rules.JOINED_SPELLINGS)

@@ -68,6 +68,13 @@ def compare_modes(whole: DataFrame, single: DataFrame, key: str) -> DataFrame:
     return both.withColumn("difference", F.abs(F.col("n_whole") - F.col("n_single")))
 
 
+def attach_validations(results: DataFrame, validations: DataFrame, key: str, by: str) -> DataFrame:
+    """``results`` with ``validated`` and ``validations``: the optional expert rows of each key, in the order of ``by``."""
+    rows = F.array_sort(F.collect_list(F.struct(by, *[c for c in validations.columns if c not in (key, by)])))
+    own = validations.groupBy(key).agg(rows.alias("validations"))
+    return results.join(own, key, "left").withColumn("validated", F.col("validations").isNotNull())
+
+
 def top_per_group(df: DataFrame, group: str, order: list, most: int) -> DataFrame:
     by = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= most)

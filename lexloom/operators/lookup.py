@@ -34,6 +34,21 @@ def first_step(hits: DataFrame, keys: list[str], step: str) -> DataFrame:
     return hits.withColumn("__least", F.min(step).over(least)).filter(F.col(step) == F.col("__least")).drop("__least", step)
 
 
+def without(words: Column, stopwords: list[str]) -> Column:
+    """array<string>: the words that are no members of a short list, in order."""
+    return F.filter(words, lambda w: ~w.isin(stopwords))
+
+
+def prefixed_headwords(words: DataFrame, prefixes: DataFrame, heads: DataFrame) -> DataFrame:
+    """w, prefix: words that are headwords (prefix empty), or one prefix (relation prefix, ord) and a headword; the first such prefix."""
+    from .candidates import prefix_strip
+
+    known = heads.select(F.col("headword").alias("rest")).distinct()
+    own = words.select("w", F.lit(-1).alias("ord"), F.lit("").alias("prefix"), F.col("w").alias("rest"))
+    tries = own.unionByName(prefix_strip(words, prefixes))
+    return tries.join(known, "rest", "left_semi").groupBy("w").agg(F.min_by("prefix", "ord").alias("prefix"))
+
+
 def refs_stem(refs: Column) -> Column:
     return F.regexp_extract(refs, r",(\p{L}+)", 1)
 
@@ -86,7 +101,8 @@ def root_lookup(words: DataFrame, forms: DataFrame, paradigms: DataFrame) -> Dat
 def dict_stage(words: DataFrame, entries: DataFrame, stage: int) -> DataFrame:
     """Entries of each word: 1 equal, 2 but for the last character, 3 with one character more.
 
-    Case does not count.  Each stage is an equi-join on a derived key.
+    Case does not count; words of one character are only looked up as they are.  Each stage is an equi-join
+    on a derived key.
     """
     name, head = F.lower("w"), F.lower("headword")
     if stage == 1:
@@ -95,7 +111,7 @@ def dict_stage(words: DataFrame, entries: DataFrame, stage: int) -> DataFrame:
         left = words.filter(F.length("w") > 1).withColumn("__k", F.concat_ws("|", F.length("w"), F.expr("left(lower(w), length(w) - 1)")))
         right = entries.withColumn("__k", F.concat_ws("|", F.length("headword"), F.expr("left(lower(headword), length(headword) - 1)")))
     else:
-        left = words.withColumn("__k", name)
+        left = words.filter(F.length("w") > 1).withColumn("__k", name)
         right = entries.withColumn("__k", F.expr("left(lower(headword), length(headword) - 1)"))
     on = ["__k", "dict_name"] if "dict_name" in words.columns else ["__k"]
     return left.join(right, on).drop("__k").withColumn("stage", F.lit(stage))

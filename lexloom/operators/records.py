@@ -15,26 +15,63 @@ def drop_repeated(records: DataFrame, keys: list[str], listed: list[str] | None
     return records.withColumn("__again", F.coalesce(again, F.lit(False))).filter("not __again").drop("__again")
 
 
-def merge_runs(records: DataFrame, heads: DataFrame, keys: list[str], prefixes: list[str]) -> DataFrame:
+def merge_runs(
+    records: DataFrame,
+    heads: DataFrame,
+    keys: list[str],
+    prefixes: list[str],
+    skipped: dict[str, list[str]] | None = None,
+    spelled: dict[str, list[str]] | None = None,
+    unless: list[str] | None = None,
+) -> DataFrame:
     """Records where a prefix and the stem after it form a headword become one, from left to right.
 
-    A record that the merge before it consumed starts none: of a run of candidates every second one is
-    left, which the place in its island decides.
+    Behind a prefix stems of its list in ``skipped`` are passed over; its spellings in ``spelled`` are tried in
+    turn; a next stem that is one of ``unless`` is not joined.  A record that a merge consumed starts none.
     """
     by = Window.partitionBy(*keys).orderBy("pos")
-    ahead = records.withColumn("__after", F.lead("stem").over(by)).withColumn("__joined", F.concat("stem", "__after"))
-    known = heads.select(F.col("headword").alias("__joined"), F.lit(True).alias("__known")).distinct()
-    marked = ahead.join(known, "__joined", "left").withColumn(
-        "__can", F.coalesce(F.col("__known") & F.col("stem").isin(prefixes), F.lit(False))
+    later = by.rowsBetween(1, Window.unboundedFollowing)
+    place = F.row_number().over(by)
+    ahead = records.withColumn("__i", place).withColumn("__next", F.lead("stem").over(by)).withColumn("__j", F.col("__i") + 1)
+    for prefix, own in (skipped or {}).items():
+        other = F.when(~F.col("stem").isin(own), F.struct("stem", F.col("__i").alias("i")))
+        next_other = F.first(other, ignorenulls=True).over(later)
+        ahead = ahead.withColumn("__x", F.when(F.col("stem") == prefix, next_other))
+        ahead = ahead.withColumn("__next", F.when(F.col("stem") == prefix, F.col("__x")["stem"]).otherwise(F.col("__next")))
+        ahead = ahead.withColumn("__j", F.when(F.col("stem") == prefix, F.col("__x")["i"]).otherwise(F.col("__j"))).drop("__x")
+    forms = F.create_map(*[x for p in prefixes for x in (F.lit(p), F.array(*[F.lit(f) for f in (spelled or {}).get(p, [p])]))])
+    tries = ahead.filter(F.col("stem").isin(prefixes) & F.col("__next").isNotNull() & ~F.col("__next").isin(unless or []))
+    tries = tries.select(*keys, "__i", "__j", "__next", F.posexplode(F.try_element_at(forms, F.col("stem"))).alias("__step", "__form"))
+    known = heads.select(F.col("headword").alias("__joined")).distinct()
+    found = tries.withColumn("__joined", F.concat("__form", "__next")).join(known, "__joined")
+    found = found.groupBy(*keys, "__i", "__j").agg(F.min_by("__joined", "__step").alias("__joined"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), F.col("__j").alias("j"), F.col("__joined").alias("w"))))
+    # Of spans that overlap the leftmost one counts: one pass over a row's spans, in order.
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,j:int,w:string>>").alias("out"))
+    kept = F.aggregate(
+        "__spans",
+        state,
+        lambda acc, x: F.when(x["i"] > acc["at"], F.struct(x["j"].alias("at"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc),
+        lambda acc: acc["out"],
     )
-    island = F.sum(F.when(F.col("__can"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    marked = marked.withColumn("__island", island)
-    place = F.sum(F.col("__can").cast("int")).over(Window.partitionBy(*keys, "__island").orderBy("pos"))
-    marked = marked.withColumn("__merges", F.col("__can") & (place % 2 == 1))
-    gone = F.coalesce(F.lag("__merges").over(by), F.lit(False))
-    out = marked.withColumn("__gone", gone).filter("not __gone")
-    out = out.withColumn("merged", F.col("__merges")).withColumn("stem", F.when(F.col("__merges"), F.col("__joined")).otherwise(F.col("stem")))
-    return out.drop("__after", "__joined", "__known", "__can", "__island", "__merges", "__gone")
+    spans = found.groupBy(*keys).agg(listed.alias("__spans")).select(*keys, F.explode(kept).alias("__s"))
+    named = [F.col(k).alias(f"__key{n}") for n, k in enumerate(keys)]
+    spans = spans.select(*named, F.explode(F.sequence("__s.i", "__s.j")).alias("__at"), F.col("__s.i").alias("__head"), F.col("__s.w").alias("__w"))
+    same = [F.col(k).eqNullSafe(F.col(f"__key{n}")) for n, k in enumerate(keys)]
+    joined = ahead.join(spans, [*same, F.col("__i") == F.col("__at")], "left").select(*records.columns, "__i", "__head", "__w")
+    out = joined.filter("__head is null or __head = __i").withColumn("merged", F.col("__head").isNotNull())
+    return out.withColumn("stem", F.coalesce("__w", "stem")).drop("__i", "__head", "__w")
+
+
+def cleaned(records: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+    """The clean-up of one reading each position: repeats of light words go, stems in -n give way, preverbs are merged.
+
+    ``records``: keys, pos, surface, stem and more columns; adds ``replaced`` and ``merged``.
+    """
+    out = replace_n_stems(drop_repeated(records, keys), heads)
+    out = merge_runs(out, heads.filter("headword = 'duḥkha'"), keys, ["duḥ"]).withColumnRenamed("merged", "__before")
+    out = merge_runs(out, heads, keys, ["sam", "anu", "ava"], rules.SKIPPED, rules.JOINED_SPELLINGS, rules.PREFIXES)
+    return out.withColumn("merged", F.col("merged") | F.col("__before")).drop("__before")
 
 
 def replace_n_stems(records: DataFrame, heads: DataFrame, ending: str = "n") -> DataFrame:

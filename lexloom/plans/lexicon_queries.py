@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, translit
 from ..operators import candidates, lookup, segment
 from ..sources import lexicon
-from .text_queries import T, W, WORDS, docs, sql_in, turns, words
+from .text_queries import STOP, T, W, WORDS, docs, sql_in, turns, words
 
 #: Endings of the fixture paradigms: 24 nominal cells with repeats, and 9 verbal ones.
 NOUN = "||en|er|es|s|e|ed|ing|ly|re|ti|nd|th|||ent|ion|he|an|at|in|ha".split("|")
@@ -50,16 +50,15 @@ def bench_words(spark, d):
 
 
 def asked(spark, d, *names):
-    """Distinct document words of 3 to 6 letters, with the dictionaries that are searched."""
-    w = words(spark, d).filter(F.length("w").between(3, 6))
-    return w.withColumn("dict_name", F.explode(F.array(*[F.lit(n) for n in names or ("bench", "conv_user")])))
+    """Distinct document words, with the dictionaries that are searched."""
+    return words(spark, d).withColumn("dict_name", F.explode(F.array(*[F.lit(n) for n in names or ("bench", "conv_user")])))
 
 
-ASKED = "asked AS (SELECT w, unnest(['bench', 'conv_user']) AS dict_name FROM wordlist WHERE length(w) BETWEEN 3 AND 6)"
+ASKED = "asked AS (SELECT w, unnest(['bench', 'conv_user']) AS dict_name FROM wordlist)"
 STAGE = {
     1: "SELECT a.w, a.dict_name, headword, components, body, body_pos, 1 AS stage FROM asked a JOIN entry e ON a.dict_name = e.dict_name AND lower(headword) = lower(w)",
-    2: "SELECT a.w, a.dict_name, headword, components, body, body_pos, 2 AS stage FROM asked a JOIN entry e ON a.dict_name = e.dict_name AND length(headword) = length(w) AND left(lower(headword), length(headword) - 1) = left(lower(w), length(w) - 1)",
-    3: "SELECT a.w, a.dict_name, headword, components, body, body_pos, 3 AS stage FROM asked a JOIN entry e ON a.dict_name = e.dict_name AND left(lower(headword), length(headword) - 1) = lower(w)",
+    2: "SELECT a.w, a.dict_name, headword, components, body, body_pos, 2 AS stage FROM asked a JOIN entry e ON a.dict_name = e.dict_name AND length(headword) = length(w) AND left(lower(headword), length(headword) - 1) = left(lower(w), length(w) - 1) WHERE length(w) > 1",
+    3: "SELECT a.w, a.dict_name, headword, components, body, body_pos, 3 AS stage FROM asked a JOIN entry e ON a.dict_name = e.dict_name AND left(lower(headword), length(headword) - 1) = lower(w) WHERE length(w) > 1",
 }
 CASCADE = f"{EW}, {ASKED}, st AS ({STAGE[1]} UNION ALL {STAGE[2]} UNION ALL {STAGE[3]}), cas AS (SELECT * FROM st QUALIFY stage = min(stage) OVER (PARTITION BY w, dict_name))"
 
@@ -169,7 +168,7 @@ def split_scores(spark, d):
 
 
 def known_splits(spark, d):
-    cuts = segment.cut_points(words(spark, d).filter(F.length("w") <= 8)).filter("rest <> ''")
+    cuts = segment.cut_points(words(spark, d)).filter("rest <> ''")
     f = segment.flagged(cuts, heads(spark, d))
     return f.groupBy("w").agg(F.sum((F.col("known") & F.col("rest_known")).cast("int")).cast("bigint").alias("n_known"))
 
@@ -199,6 +198,12 @@ def stripped(spark, d):
     return candidates.suffix_strip(words(spark, d), spark.createDataFrame([(x,) for x in SUFFIXES], "suffix string"), heads(spark, d))
 
 
+def abstracts(spark, d):
+    """The documents' words with endings of the abstract noun, and with one of none."""
+    ends = F.array(*[F.lit(x) for x in ("tvam", "tvena", "tveṣu", "tva", "ly")])
+    return words(spark, d).select(F.concat("w", F.get(ends, F.length("w") % 5)).alias("w")).distinct()
+
+
 def names(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("headword"))
     return part.unionByName(spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("headword")))
@@ -210,7 +215,10 @@ def queries():
         "dict_hit_by_length": lambda s, d: _hits(s, d),
         "headword_index": lambda s, d: lexicon.headword_index(ent(s, d)).select("headword", F.array_join("dicts", ",").alias("dicts")),
         "headword_semi": lambda s, d: words(s, d).join(heads(s, d), W() == F.col("headword"), "left_semi"),
-        "stopword_filter": lambda s, d: words(s, d).join(bench_words(s, d), "w", "left_semi"),
+        "stopword_filter": lambda s, d: docs(s, d).select("doc_id", F.array_join(lookup.without(text.letters(T()), STOP), " ").alias("kept")),
+        "tva_suffix": lambda s, d: candidates.abstract_bases(abstracts(s, d), s.createDataFrame(list(rules.ABSTRACT.items()), "suffix string, ending string")),
+        "prefixed_headwords": lambda s, d: lookup.prefixed_headwords(words(s, d), prefixes(s), heads(s, d)),
+        "ch_retry": lambda s, d: words(s, d).select("w", text.restored_sibilant(W()).alias("retry")).filter("retry is not null"),
         "stopword_antijoin": lambda s, d: words(s, d).join(bench_words(s, d), "w", "left_anti"),
         "type_map_expand": lambda s, d: lookup.expand_models(words(s, d).select("w", F.right("w", F.lit(1)).alias("model")), s.createDataFrame([("s", "plural"), ("t", "dental"), ("e", "vowel")], "abbr string, description string")),
         "refs_stem": lambda s, d: tables(s, d)[1].select("kind", "stem", lookup.refs_stem(F.col("refs")).alias("found")),
@@ -232,7 +240,7 @@ def queries():
         "dict_wildcard_names": lambda s, d: lookup.wildcard(s.createDataFrame([("%a%", ), ("al%",)], "pattern string"), names(s, d).distinct()),
         "dict_star": lambda s, d: lookup.starred(s.createDataFrame([("th*",), ("ine*",)], "w string"), heads(s, d)).select("w", "headword"),
         "sam_variant_lookup": lambda s, d: lookup.sam_variants(words(s, d).select(F.concat(F.lit("saṃ"), "w").alias("w")), heads(s, d).select(F.concat(F.lit("sam"), "headword").alias("headword"))),
-        "dict_search": lambda s, d: lookup.dict_search(words(s, d).filter(F.length("w") <= 5), ent(s, d), ["bench"]).select("w", "dict_name", "headword", F.coalesce("stage", F.lit(0)).alias("stage"), "body", "found"),
+        "dict_search": lambda s, d: lookup.dict_search(words(s, d), ent(s, d), ["bench"]).select("w", "dict_name", "headword", F.coalesce("stage", F.lit(0)).alias("stage"), "body", "found"),
         "dict_group": lambda s, d: lookup.grouped_bodies(lookup.dict_stage(asked(s, d), ent(s, d), 1)).select("w", "dict_name", "headword", F.array_join("bodies", ",").alias("bodies")),
         "first_components": lambda s, d: lookup.first_components(lookup.dict_cascade(asked(s, d), ent(s, d))),
         "final_variants": lambda s, d: candidates.final_variants(words(s, d), closed(s)),
@@ -267,7 +275,10 @@ def oracle_sql():
         "dict_hit_by_length": f"WITH {E}, tok AS (SELECT unnest({LETTERS}) AS w FROM documents) SELECT length(w) AS length, count(*) AS tokens, count(headword) AS hits FROM tok LEFT JOIN heads ON w = headword GROUP BY ALL",
         "headword_index": f"WITH {E} SELECT headword, array_to_string(list_sort(list(DISTINCT dict_name)), ',') AS dicts FROM entry GROUP BY headword",
         "headword_semi": f"{EW} SELECT w FROM wordlist SEMI JOIN heads ON w = headword",
-        "stopword_filter": f"{EW} SELECT w FROM wordlist WHERE w IN (SELECT headword FROM entry WHERE dict_name = 'bench')",
+        "stopword_filter": f"SELECT doc_id, array_to_string(list_filter({LETTERS}, lambda x: x NOT IN {sql_in(STOP)}), ' ') AS kept FROM documents",
+        "tva_suffix": f"WITH {WORDS}, n AS (SELECT w || (['tvam', 'tvena', 'tveṣu', 'tva', 'ly'])[length(w) % 5 + 1] AS w FROM wordlist), s(suffix, ending) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in rules.ABSTRACT.items())}), c AS (SELECT w, left(w, length(w) - length(suffix)) AS base, ending FROM n JOIN s ON ends_with(w, suffix) AND length(w) > length(suffix) QUALIFY row_number() OVER (PARTITION BY w ORDER BY length(suffix) DESC) = 1) SELECT w, CASE WHEN right(base, 1) = 'a' THEN left(base, length(base) - 1) || ending ELSE base END AS form FROM c",
+        "prefixed_headwords": f"{EW}, {PREFIX_SQL}, t AS (SELECT w, -1 AS ord, '' AS prefix, w AS rest FROM wordlist UNION ALL {STRIPPED.replace('SELECT w, ord, prefix, substr', 'SELECT w, ord, prefix, substr')}) SELECT w, min_by(prefix, ord) AS prefix FROM t WHERE rest IN (SELECT headword FROM heads) GROUP BY w",
+        "ch_retry": f"WITH {WORDS} SELECT w, 'ś' || substr(w, 2) AS retry FROM wordlist WHERE w LIKE 'ch%'",
         "stopword_antijoin": f"{EW} SELECT w FROM wordlist WHERE w NOT IN (SELECT headword FROM entry WHERE dict_name = 'bench')",
         "type_map_expand": f"WITH {WORDS} SELECT w, CASE right(w, 1) WHEN 's' THEN 'plural' WHEN 't' THEN 'dental' WHEN 'e' THEN 'vowel' ELSE right(w, 1) END AS model FROM wordlist",
         "refs_stem": rf"WITH {P} SELECT kind, stem, regexp_extract(refs, ',(\p{{L}}+)', 1) AS found FROM paradigm",
@@ -289,7 +300,7 @@ def oracle_sql():
         "dict_wildcard_names": "WITH p(pattern) AS (VALUES ('%a%'), ('al%')), n AS (SELECT DISTINCT p_name AS headword FROM part UNION SELECT n_name FROM nation) SELECT pattern, headword FROM p JOIN n ON headword ILIKE pattern",
         "dict_star": f"WITH {E} SELECT 'th*' AS w, headword FROM heads WHERE headword LIKE 'th%' UNION ALL SELECT 'ine*', headword FROM heads WHERE headword LIKE 'ine%'",
         "sam_variant_lookup": f"{EW} SELECT 'saṃ' || w AS w, 'sam' || w AS headword FROM wordlist WHERE w IN (SELECT headword FROM heads)",
-        "dict_search": f"{EW}, i AS (SELECT headword, list(DISTINCT dict_name) AS dicts FROM entry GROUP BY headword), asked AS (SELECT w, unnest(CASE WHEN dicts IS NULL OR list_contains(dicts, 'bench') THEN ['bench'] ELSE ['bench'] || dicts END) AS dict_name FROM wordlist LEFT JOIN i ON w = headword WHERE length(w) <= 5), st AS ({STAGE[1]} UNION ALL {STAGE[2]} UNION ALL {STAGE[3]}), cas AS (SELECT * FROM st QUALIFY stage = min(stage) OVER (PARTITION BY w, dict_name)) SELECT wl.w, dict_name, headword, coalesce(stage, 0) AS stage, body, headword IS NOT NULL AS found FROM (SELECT w FROM wordlist WHERE length(w) <= 5) wl LEFT JOIN cas ON wl.w = cas.w".replace("2 AS stage FROM asked a JOIN entry e ON", "2 AS stage FROM asked a JOIN entry e ON length(w) > 1 AND"),
+        "dict_search": f"{EW}, i AS (SELECT headword, list(DISTINCT dict_name) AS dicts FROM entry GROUP BY headword), asked AS (SELECT w, unnest(CASE WHEN dicts IS NULL OR list_contains(dicts, 'bench') THEN ['bench'] ELSE ['bench'] || dicts END) AS dict_name FROM wordlist LEFT JOIN i ON w = headword), st AS ({STAGE[1]} UNION ALL {STAGE[2]} UNION ALL {STAGE[3]}), cas AS (SELECT * FROM st QUALIFY stage = min(stage) OVER (PARTITION BY w, dict_name)) SELECT wl.w, dict_name, headword, coalesce(stage, 0) AS stage, body, headword IS NOT NULL AS found FROM wordlist wl LEFT JOIN cas ON wl.w = cas.w",
         "dict_group": f"{EW}, {ASKED}, s AS ({STAGE[1]}) SELECT w, dict_name, headword, string_agg(body, ',' ORDER BY body_pos) AS bodies FROM s GROUP BY ALL",
         "first_components": f"{CASCADE} SELECT w, min_by(components, struct_pack(a := dict_name, b := headword, c := body_pos)) AS components FROM cas WHERE components <> '' GROUP BY w",
         "final_variants": f"WITH {WORDS}, {CLOSED_SQL} {VARIANTS}",
@@ -298,7 +309,7 @@ def oracle_sql():
         "prefix_rejoin": f"WITH {E}, t AS (SELECT conv_id, turn, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS w FROM (SELECT conv_id, turn, {LETTERS} AS l FROM conversations)), a AS (SELECT *, w || lead(w) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS joined FROM t) SELECT conv_id, turn, pos, joined FROM a SEMI JOIN heads ON joined = headword WHERE w IN {sql_in(PREFIXES)}",
         "suffix_strip": f"{EW}, sx(suffix) AS (VALUES {', '.join(f"('{x}')" for x in SUFFIXES)}), c AS (SELECT w, left(w, length(w) - length(suffix)) AS base, suffix FROM wordlist JOIN sx ON w LIKE '%' || suffix WHERE length(w) > length(suffix)) SELECT w, base, suffix FROM c WHERE base IN (SELECT headword FROM heads) QUALIFY row_number() OVER (PARTITION BY w ORDER BY length(suffix) DESC) = 1",
         "split_score": f"{SCORED} SELECT w, i, score FROM sc",
-        "split_all_known": f"{EW}, {CUTS} SELECT w, CAST(sum(CAST(first IN (SELECT headword FROM heads) AND rest IN (SELECT headword FROM heads) AS INT)) AS BIGINT) AS n_known FROM cut WHERE length(w) <= 8 AND rest <> '' GROUP BY w",
+        "split_all_known": f"{EW}, {CUTS} SELECT w, CAST(sum(CAST(first IN (SELECT headword FROM heads) AND rest IN (SELECT headword FROM heads) AS INT)) AS BIGINT) AS n_known FROM cut WHERE rest <> '' GROUP BY w",
         "longest_prefix": f"{EW}, c AS (SELECT w, left(w, i) AS first FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM wordlist WHERE length(w) > 1)) SELECT w, max_by(first, length(first)) AS first FROM c SEMI JOIN heads ON first = headword GROUP BY w",
         "best_prefix_split": f"{SCORED}, b AS (SELECT w, first, rest, score FROM sc QUALIFY row_number() OVER (PARTITION BY w ORDER BY score DESC, length(first) DESC) = 1) SELECT * FROM b WHERE score >= {segment.ACCEPT}",
         "translit_slp1_iast": f"WITH {WORDS} SELECT w, array_to_string({fold}, '') AS iast FROM wordlist",

@@ -46,6 +46,8 @@ MERGED = f"""WITH {E}, {TURN}, a AS (SELECT *, lead(stem) OVER {BY} AS nx FROM t
 i AS (SELECT *, sum(1 - can) OVER {BY} AS isl FROM c), m AS (SELECT *, can = 1 AND sum(can) OVER (PARTITION BY conv_id, turn, isl ORDER BY pos) % 2 = 1 AS merges FROM i),
 g AS (SELECT *, coalesce(lag(merges) OVER {BY}, false) AS gone FROM m) SELECT conv_id, turn, pos, CASE WHEN merges THEN stem || nx ELSE stem END AS stem, merges AS merged FROM g WHERE NOT gone"""
 
+#: Fixture of preverbs, and of stems that may stand behind them.
+SKIPPERS, PASSED = PREFIXES[:4], ["the", "of"]
 #: (case, predicted, expected): worked examples of the accuracy formula.
 CASES = [
     ("a", ["deva", "manuṣya"], ["deva", "manuṣya"]),
@@ -90,6 +92,10 @@ def queries():
         "dedup_filtered": lambda s, d: records.drop_repeated(doubled(s, d), KEYS, LISTED),
         "merge_prefix": lambda s, d: records.merge_runs(stems(s, d), heads(s, d), KEYS, PREFIXES),
         "merge_pair": lambda s, d: records.merge_runs(stems(s, d), s.createDataFrame([("ofthe",), ("inthe",)], "headword string"), KEYS, ["of", "in"]).filter("merged"),
+        "merge_skipped": lambda s, d: records.merge_runs(doubled(s, d), heads(s, d), KEYS, SKIPPERS, {p: [p, *PASSED] for p in SKIPPERS}, {SKIPPERS[0]: [SKIPPERS[0][:1], SKIPPERS[0]]}, ["on"]).filter("merged").select(*KEYS, "pos", "stem"),
+        "validation_attach": lambda s, d: evaluate.attach_validations(docs(s, d).select("doc_id", "lang"), s.read.parquet(f"{d}/labels.parquet").select("doc_id", F.lit("expert").alias("expert_id"), "quality"), "doc_id", "expert_id").select("doc_id", "validated", F.coalesce(F.size("validations"), F.lit(0)).alias("n")),
+        "compound_source": lambda s, d: lexicon.compounds(docs(s, d).filter("lang is not null").select("doc_id", F.to_json(F.struct(F.create_map("lang", F.array(F.struct("text", F.col("source").alias("source_file")))).alias("compounds"))).alias("j")), "j"),
+        "json_repair": lambda s, d: docs(s, d).select("doc_id", text.repaired_json(F.concat(F.lit('{"n": '), F.col("n_chars"), F.when(F.col("doc_id") % 2 == 0, "}").otherwise(', "t": "x')), "n long, t string")["n"].alias("n")),
         "nstem_replace": lambda s, d: records.replace_n_stems(read(s, d).drop("rank"), heads(s, d)).filter("replaced").select(*KEYS, "pos", "surface", "stem"),
         "promote_exact": lambda s, d: records.promote_exact(read(s, d), heads(s, d), [*KEYS, "pos"]).filter("rank = 0").select(*KEYS, "pos", "stem"),
         "min_len_filter": lambda s, d: records.long_enough(stems(s, d)),
@@ -123,6 +129,9 @@ def oracle_sql():
         "dedup_filtered": f"WITH {DOUBLED}, l AS (SELECT *, lag(stem) OVER {BY} AS b FROM d) SELECT conv_id, turn, pos, stem FROM l WHERE NOT coalesce(b = stem AND stem IN {sql_in(LISTED)}, false)",
         "merge_prefix": MERGED,
         "merge_pair": f"SELECT * FROM ({MERGED.replace(f'stem IN {sql_in(PREFIXES)}', "stem IN ('of', 'in')").replace('(SELECT headword FROM heads)', "('ofthe', 'inthe')")}) WHERE merged",
+        "validation_attach": "SELECT d.doc_id, count(l.doc_id) > 0 AS validated, CAST(count(l.doc_id) AS INT) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.doc_id",
+        "compound_source": "SELECT doc_id, lang AS category, 0 AS idx, text, source AS source_file FROM documents WHERE lang IS NOT NULL",
+        "json_repair": "SELECT doc_id, n_chars AS n FROM documents",
         "nstem_replace": f"WITH {READ} SELECT conv_id, turn, pos, surface, surface AS stem FROM rec WHERE stem LIKE '%n' AND stem <> surface AND surface IN (SELECT headword FROM heads)",
         "promote_exact": f"WITH {READ}, f AS (SELECT * FROM rec WHERE rank = 1 AND stem <> surface AND surface IN (SELECT headword FROM heads)) SELECT conv_id, turn, pos, surface AS stem FROM f",
         "min_len_filter": f"WITH {TURN} SELECT * FROM t WHERE length(stem) > 1",

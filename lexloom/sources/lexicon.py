@@ -72,11 +72,51 @@ def headword_index(entries: DataFrame) -> DataFrame:
     return entries.groupBy("headword").agg(F.array_sort(F.collect_set("dict_name")).alias("dicts"))
 
 
+def read_keys(spark: SparkSession, path: str) -> DataFrame:
+    """key: the strings of a JSON list, each once."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("key")).distinct()
+
+
+def from_sqlite(spark: SparkSession, database: str, path: str, tables: dict[str, str], rows: int = 100_000) -> None:
+    """One-off conversion of a lexicon in a SQLite file: each relation's SELECT is read in parts of ``rows`` and saved for ``Lexicon.load``."""
+    import sqlite3
+    from contextlib import closing
+
+    with closing(sqlite3.connect(f"file:{database}?mode=ro", uri=True)) as connection:
+        for name, select in tables.items():
+            cursor, mode = connection.execute(select), "overwrite"
+            while (part := cursor.fetchmany(rows)) or mode == "overwrite":
+                listed = [[json.loads(v) if isinstance(v, str) and t == "array<string>" else v for v, t in zip(r, _types(name), strict=True)] for r in part]
+                writer = spark.createDataFrame(listed, SCHEMAS[name]).write.mode(mode)
+                (writer.partitionBy("dict_name") if name == "dict_entry" else writer).parquet(f"{path}/{name}")
+                mode = "append"
+
+
+def _types(name: str) -> list[str]:
+    return [c.split()[1] for c in SCHEMAS[name].split(", ")]
+
+
+def compounds(df: DataFrame, column: str) -> DataFrame:
+    """All columns but ``column``, with category, idx, text, source_file of {compounds: {category: [{text, source_file}]}}."""
+    rest = [c for c in df.columns if c != column]
+    schema = "compounds map<string, array<struct<text: string, source_file: string>>>"
+    rows = df.select(*rest, F.explode(F.from_json(column, schema)["compounds"]).alias("category", "items"))
+    return rows.select(*rest, "category", F.posexplode("items").alias("idx", "item")).select(*rest, "category", "idx", "item.*")
+
+
 def read_compounds(spark: SparkSession, path: str) -> DataFrame:
     """category, idx, text, source_file of a JSON document {compounds: {category: [{text, source_file}]}}."""
-    schema = "compounds map<string, array<struct<text: string, source_file: string>>>"
-    rows = spark.read.json(path, schema=schema, multiLine=True).select(F.explode("compounds").alias("category", "items"))
-    return rows.select("category", F.posexplode("items").alias("idx", "item")).select("category", "idx", "item.*")
+    return compounds(spark.read.text(path, wholetext=True), "value")
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The column ``line`` as text files, in the order of ``pos``."""
+    lines.orderBy("pos").select("line").write.mode("overwrite").text(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a row."""
+    df.write.mode("overwrite").json(path)
 
 
 def texts_in_json(df: DataFrame, column: str, key: str = "text") -> DataFrame:
