@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import drop_stored, shared_dir, stored
+
+__all__ = ["added", "bound", "chunks", "drop_stored", "matches", "no_matches", "running", "shared_dir", "spans_text", "spread_join", "stored", "table", "with_row", "words_of"]
+
 #: White space of the word rule, as a regular expression and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -21,47 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none and runs on this machine alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-    return own
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends in a durable file.
-
-    The table is removed when the session's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Remove a table that ``stored`` made and that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is gone, and its folder with it
-        pass
-
-
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], held: str, most: int) -> DataFrame:
     """``rows`` joined with ``table``, whose column ``held`` says how many rows each key has.
 

@@ -8,7 +8,9 @@ reached the threshold (within SURE standard deviations of its count), or when it
 everything.  So data with clear neighbours stop early, and nothing else caps the candidates.
 
 Queries and rows are dealt into blocks of bounded size; each pair of blocks is searched by itself and
-leaves at most k rows a query, of which the best k are kept.
+leaves at most k rows a query, of which the best k are kept.  Vectors are sent once a query block and
+queries once a row block, so blocks of queries are large; the queries being a fixed share of the rows, the
+pairs of blocks still grow with the square of the rows.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part;
 vectors of another length than the query's are no candidates of it; equal rows (id and vector) count
@@ -27,7 +29,10 @@ PROJECTIONS, THRESHOLD = 96, 0.5
 GROWTH, SURE = 1.2, 1.3
 #: A vector at distance s collides in half of its projections, in the mean, once the radius is HALF * s.
 HALF = 0.6745
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 256
+#: Places in a block's orders are kept in 16 bits, so blocks stay well under 65,536 rows.
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Queries that try out from which radius the others start.
+SCOUTS = 8
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
@@ -43,45 +48,60 @@ def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     """(query, id, distance) arrays: up to ``k`` nearest of the block's rows for each query found so."""
     n, d = rows.shape
     axes = np.random.default_rng(d).normal(size=(d, PROJECTIONS))
-    projected = rows @ axes
-    order = np.argsort(projected, 0, kind="stable")
-    ordered = np.take_along_axis(projected, order, 0)
-    centre = queries @ axes
+    projected = np.ascontiguousarray((rows @ axes).T)
+    order = np.argsort(projected, 1, kind="stable")
+    ordered = np.take_along_axis(projected, order, 1)
+    place = np.empty((PROJECTIONS, n), np.uint16 if n < 1 << 16 else np.uint64)
+    np.put_along_axis(place, order, np.arange(n, dtype=place.dtype)[None], 1)
+    centre = (queries @ axes).T
+    squares = (rows * rows).sum(1)
     need = int(np.ceil(THRESHOLD * PROJECTIONS))
     slack = 1 + SURE * np.sqrt(0.25 / PROJECTIONS) / 0.4286  # 0.4286: slope of the count's mean in log radius
     # The first window holds about a quarter of the rows where a projection is densest.
-    spread = np.quantile(np.abs(projected - np.median(projected, 0)), 0.25)
-    found_q, found_id, found_d = [], [], []
-    for q in range(len(queries)):
-        counts = np.zeros(n, np.int16)
-        low = high = np.array([np.searchsorted(ordered[:, j], centre[q, j]) for j in range(PROJECTIONS)])
-        seen = np.zeros(n, bool)
-        picked, distance = np.zeros(0, np.int64), np.zeros(0)
-        radius = max(spread, 1e-12)
-        while True:
-            new_low, new_high = low.copy(), high.copy()
-            for j in range(PROJECTIONS):
-                new_low[j] = np.searchsorted(ordered[:, j], centre[q, j] - radius, "left")
-                new_high[j] = np.searchsorted(ordered[:, j], centre[q, j] + radius, "right")
-                counts[order[new_low[j] : low[j], j]] += 1
-                counts[order[high[j] : new_high[j], j]] += 1
-            low, high = np.minimum(low, new_low), np.maximum(high, new_high)
-            fresh = np.flatnonzero((counts >= need) & ~seen)
-            if len(fresh):
-                seen[fresh] = True
-                fresh = fresh[ids[fresh] != query_ids[q]]
-                gap = rows[fresh] - queries[q]
-                picked = np.concatenate([picked, fresh])
-                distance = np.concatenate([distance, np.sqrt((gap * gap).sum(1))])
-            whole = bool((low == 0).all() and (high == n).all())
-            if whole or len(picked) >= k and np.partition(distance, k - 1)[k - 1] * HALF * slack <= radius:
-                break
-            radius *= GROWTH
-        best = np.lexsort((ids[picked], distance))[:k]
-        found_q.append(np.full(len(best), query_ids[q]))
-        found_id.append(ids[picked[best]])
-        found_d.append(distance[best])
-    return np.concatenate(found_q), np.concatenate(found_id), np.concatenate(found_d)
+    spread = max(np.quantile(np.abs(projected - np.median(projected, 1)[:, None]), 0.25), 1e-12)
+    best: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], np.zeros(0))] * len(queries)
+
+    def widen(active: np.ndarray, radius: np.ndarray) -> list[float]:
+        """The radii at which the queries stop; their windows grow together."""
+        final = []
+        while len(active):
+            low, high = (
+                np.stack([np.searchsorted(ordered[j], centre[j, active] + side * radius, which) for j in range(PROJECTIONS)]).astype(place.dtype)
+                for side, which in ((-1, "left"), (1, "right"))
+            )
+            wide = high - low
+            going = np.zeros(len(active), bool)
+            for i, q in enumerate(active):
+                # Places below the window wrap round to large numbers, as these have no sign.
+                inside = place - low[:, i, None] < wide[:, i, None]
+                hits = np.flatnonzero(np.add.reduce(inside.view(np.uint8), 0, dtype=np.uint8) >= need)
+                hits = hits[ids[hits] != query_ids[q]]
+                if len(hits) > k:  # products leave those that rounding could put among the k nearest
+                    rough = squares[hits] - 2 * (rows[hits] @ queries[q])
+                    most = np.partition(rough, k - 1)[k - 1]
+                    hits = hits[rough <= most + 1e-9 * (1 + abs(most) + squares[hits])]
+                gap = rows[hits] - queries[q]
+                distance = np.sqrt((gap * gap).sum(1))
+                whole = not low[:, i].any() and (high[:, i] == n).all()
+                near = len(hits) >= k and np.partition(distance, k - 1)[k - 1] * HALF * slack <= radius[i]
+                going[i] = not (whole or near)
+                if not going[i]:
+                    final.append(radius[i])
+                    first = np.lexsort((ids[hits], distance))[:k]
+                    best[q] = ids[hits[first]], distance[first]
+            active, radius = active[going], radius[going] * GROWTH
+        return final
+
+    started = np.arange(min(SCOUTS, len(queries)))
+    found = widen(started, np.full(len(started), spread))
+    started = np.arange(len(started), len(queries))
+    if len(started):
+        widen(started, np.full(len(started), max(np.median(found) / GROWTH, spread)))
+    return (
+        np.repeat(query_ids, [len(i) for i, _ in best]),
+        np.concatenate([i for i, _ in best]),
+        np.concatenate([x for _, x in best]),
+    )
 
 
 def search(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
