@@ -77,18 +77,20 @@ def run_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, at least ``n`` of them."""
-    size = max(CUT * 2, 1 << max(1, n - 1).bit_length())
-    if size not in _powers:
-        both = []
-        for base in (_P, _INVERSE):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        if size > CUT * 2:
-            return both[0], both[1]
+    """Powers of the multiplier and of its inverse, at least ``n`` of them; the largest table for usual cuts is kept."""
+    for size, known in _powers.items():
+        if size >= n:
+            return known
+    size = 1 << max(16, (n - 1).bit_length())
+    both = []
+    for base in (_P, _INVERSE):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        both.append(np.multiply.accumulate(x))
+    if size <= CUT * 2:
+        _powers.clear()
         _powers[size] = (both[0], both[1])
-    return _powers[size]
+    return both[0], both[1]
 
 
 def is_word(codes: np.ndarray) -> np.ndarray:

@@ -30,6 +30,8 @@ LANG_DOCS, TOTAL_DOCS, MOST_LANGS = 256, 4096, 256
 BUCKETS = 1 << 15
 #: Words of a training sequence, of a block of the chain; training rounds and step.
 SEQUENCE, BLOCK, EPOCHS, BATCH, STEP = 40, 32, 3, 64, 0.4
+#: Code points of the texts that are learned from at a time: the driver's memory is bounded by it.
+LEARNED_AT_ONCE = 1 << 17
 UNKNOWN = "und"
 
 
@@ -92,7 +94,7 @@ class Chain:
             order = rng.permutation(len(texts))
             shuffled = [texts[i] for i in order]
             truth = np.array([self.labels.index(names[i]) for i in order], np.int64)
-            for a, b in cuts(shuffled):
+            for a, b in cuts(shuffled, LEARNED_AT_ONCE):
                 self._learn(shuffled[a:b], truth[a:b], rng, squares)
 
     def _learn(self, texts: list[str], truth: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:

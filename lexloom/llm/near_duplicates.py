@@ -32,7 +32,7 @@ BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
 #: Similarity that links, as a fraction.
 SHARE, OF = 80, 100
-#: A key with more than this part of a table's rows is joined by broadcast; so many keys at most are.
+#: Keys that hold more than one in so many of a table's rows are joined by broadcast; there are no more of them.
 HOT_KEYS = 1000
 #: From this level on, permutations are kept as rows and not as lists of swaps.
 ROWS_FROM = 6
@@ -185,31 +185,38 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Union-find as alternating star contractions: every node hands its larger, then its smaller
     neighbours to the smallest one, until only stars are left.  Minima are combined before they are
-    shuffled, and edges of nodes with very many neighbours meet their minimum by broadcast, so a node
-    with any number of neighbours stays spread over tasks.
+    shuffled, and the larger neighbours of nodes with very many of them meet their minimum by broadcast, so
+    a node with any number of neighbours stays spread over tasks.
     """
     pairs = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"), "graph")
-    before, rows = None, pairs.count()
+    before = _digest(pairs)
     while True:
-        most = max(rows // HOT_KEYS, 64)
         turned = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        both = pairs.unionByName(turned)
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        large = spread_join(turned, least, ["u"], "n", most).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(pairs.filter("false")).filter("u <> v")
-        below = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        star = spread_join(large, below, ["u"], "n", most)
+        least = pairs.unionByName(turned).groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        many = pairs.groupBy("v").count().filter(F.col("count") > max(before[0] // HOT_KEYS, 64)).select("v")
+        hubs = [r["v"] for r in many.collect()]  # HOT_KEYS ids at most
+        large = turned.join(least, "u")
+        if hubs:
+            is_hub = F.col("u").isin(hubs)
+            spread = turned.filter(is_hub).join(F.broadcast(least.filter(is_hub)), "u")
+            large = spread.unionByName(turned.filter(~is_hub).join(least.filter(~is_hub), "u"))
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        star = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         after = stored(star.select(ends.alias("x")).select("x.u", "x.v").filter("u <> v").dropDuplicates(), "graph")
-        # Nothing moves any more once count and digest of the edges stay.
-        digest = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        digest = _digest(after)
         drop_stored(pairs)
-        pairs, rows = after, digest[0]
-        if digest == before:
+        pairs = after
+        if digest == before:  # nothing moves any more
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = digest
 
 
+def _digest(pairs: DataFrame) -> tuple:
+    """Count and sum of hashes of the edges."""
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -255,10 +262,14 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select(
         *key, "rows", F.coalesce("component", "rep").alias("component_id")
     )
-    most = max(signed.count() // HOT_KEYS, 64)
     out = ["doc_id", "n_shingles", "component_id"]
     alone = signed.filter("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    found = spread_join(keyed.select("doc_id", *key), named, key, "rows", most).select(*out).unionByName(alone.select(*out))
+    most = max(signed.count() // HOT_KEYS, 64)
+    if classes.filter(F.col("rows") > most).limit(1).count():
+        found = spread_join(keyed.select("doc_id", *key), named, key, "rows", most)
+    else:
+        found = keyed.select("doc_id", *key).join(named, key)
+    found = found.select(*out).unionByName(alone.select(*out))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
