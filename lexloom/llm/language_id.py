@@ -32,6 +32,8 @@ BUCKETS = 1 << 15
 SEQUENCE, BLOCK, EPOCHS, BATCH, STEP = 40, 32, 3, 64, 0.4
 #: Code points of the texts that are learned from at a time: the driver's memory is bounded by it.
 LEARNED_AT_ONCE = 1 << 17
+#: Code points of the texts that are labelled at a time.
+LABELLED_AT_ONCE = 1 << 19
 UNKNOWN = "und"
 
 
@@ -266,7 +268,7 @@ def _predictor(chain: Chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in cuts(texts):
+            for a, b in cuts(texts, LABELLED_AT_ONCE):
                 names, score = chain.predict(texts[a:b])
                 kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(
@@ -293,7 +295,7 @@ def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for a, b in cuts(texts):
+            for a, b in cuts(texts, LABELLED_AT_ONCE):
                 names, score = chain.predict(texts[a:b])
                 good = [n != UNKNOWN and s >= least for n, s in zip(names, score.tolist(), strict=True)]
                 yield batch.slice(a, b - a).filter(pa.array(good, pa.bool_()))

@@ -34,6 +34,8 @@ SLOTS = BANDS * ROWS
 SHARE, OF = 80, 100
 #: Keys that hold more than one in so many of a table's rows are joined by broadcast; there are no more of them.
 HOT_KEYS = 1000
+#: Code points of one cut: signatures need some 60 bytes a code point for it.
+CUT_AT = 1 << 18
 #: From this level on, permutations are kept as rows and not as lists of swaps.
 ROWS_FROM = 6
 
@@ -129,7 +131,7 @@ def _sums(sets: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in cuts(texts):
+        for a, b in cuts(texts, CUT_AT):
             sets, counts = shingle_sets(texts[a:b])
             has = np.flatnonzero(counts)
             keys = band_keys(super_minhash(sets, counts[has])) if len(has) else np.zeros((0, BANDS), np.uint64)
@@ -150,7 +152,7 @@ def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         k1, k2 = (np.asarray(batch.column(i)) for i in (2, 3))
-        for a, b in cuts(texts):
+        for a, b in cuts(texts, CUT_AT):
             sets, counts = shingle_sets(texts[a:b])
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.view(np.int64)))
