@@ -142,17 +142,21 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> Plan:
 def _planned(counts: dict[int, int], limit: int, most: int) -> Plan:
     """All single sums first, from the longest length down, then all pairs, then all triples; then best fit."""
     left = {x: n for x, n in counts.items() if n}
-    live = sorted(left)
+    live, sums = sorted(left), Sums(left, limit)
     out: Plan = []
     for parts in range(most + 1):
         half = bisect_left(live, limit // 2 + 1)
         # Pairs and triples go first to lengths just over half, which would waste most; then to shorter ones.
         for top in live[::-1] if parts < 2 else live[half:] + live[:half][::-1]:
             while left.get(top):
-                sums = _filling(left, live, top, limit - top, parts)
-                if sums is None:
+                gap = limit - top
+                if parts == 0 or gap == 0:
+                    found = () if gap == parts == 0 else None
+                else:
+                    found = (sums.single, sums.pair, sums.triple)[parts - 1](gap, (top,))
+                if found is None:
                     break
-                pattern = (top, *sums)
+                pattern = (top, *found)
                 n = min(left[x] // pattern.count(x) for x in set(pattern))
                 out.append((pattern, n))
                 for x in pattern:
@@ -164,31 +168,52 @@ def _planned(counts: dict[int, int], limit: int, most: int) -> Plan:
     return out + best_fit(sorted(left.items()), limit)
 
 
-def _filling(left: dict[int, int], live: list[int], top: int, gap: int, parts: int) -> tuple[int, ...] | None:
-    """So many available lengths that sum to ``gap``, besides the piece of length ``top``; none for a gap of 0."""
-
-    def enough(*xs: int) -> bool:
-        return all(left.get(x, 0) >= xs.count(x) + (x == top) for x in xs)
-
-    if parts == 0 or gap == 0:
-        return () if gap == parts == 0 else None
-    if parts == 1:
-        return (gap,) if enough(gap) else None
-    below = live[: bisect_left(live, gap)]
-    for a in reversed(below):
-        if parts * a < gap:
-            break
-        if parts == 2:
-            if enough(a, gap - a):
-                return (a, gap - a)
-            continue
-        for b in reversed(below[: bisect_left(below, min(a, gap - a - 1) + 1)]):
-            c = gap - a - b
-            if c > b:
-                break
-            if enough(a, b, c):
-                return (a, b, c)
-    return None
+class Sums:
+    """Single, pair and triple sums of the available lengths, indexed by their total.
+
+    The pairs of a total are listed once, the larger part first and falling.  Counts only fall, so a pair
+    that has run out is passed for good; triples are a length and an indexed pair of the rest.
+    """
+
+    def __init__(self, left: dict[int, int], limit: int):
+        self.left = left
+        self.there = np.zeros(limit + 1, bool)
+        self.there[[x for x in left if x <= limit]] = True
+        self.pairs: dict[int, np.ndarray] = {}
+        self.passed: dict[int, int] = {}
+
+    def single(self, total: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        return (total,) if self._enough((total,), used) else None
+
+    def pair(self, total: int, used: tuple[int, ...], most: int | None = None) -> tuple[int, ...] | None:
+        """The pair of that sum with the largest part (``most`` at most), of what ``used`` leaves."""
+        if total not in self.pairs:
+            first = np.arange(total - 1, (total - 1) // 2, -1)
+            first = first[first < len(self.there)]
+            self.pairs[total] = first[self.there[first] & self.there[total - first]].astype(np.int32)
+            self.passed[total] = 0
+        listed, at = self.pairs[total], self.passed[total]
+        while at < len(listed) and not self._enough((int(listed[at]), total - int(listed[at])), ()):
+            at += 1
+        self.passed[total] = at
+        if most is not None:
+            at = max(at, int(np.searchsorted(-listed, -most)))
+        for a in listed[at:].tolist():
+            if self._enough((a, total - a), used):
+                return a, total - a
+        return None
+
+    def triple(self, total: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        first = np.flatnonzero(self.there[: max(total - 1, 0)])[::-1]
+        for a in first[3 * first >= total].tolist():
+            if self._enough((a,), used):
+                rest = self.pair(total - a, (*used, a), a)
+                if rest:
+                    return a, *rest
+        return None
+
+    def _enough(self, parts: tuple[int, ...], used: tuple[int, ...]) -> bool:
+        return all(self.left.get(x, 0) >= parts.count(x) + used.count(x) for x in parts)
 
 
 def best_fit(pieces_left: list[tuple[int, int]], limit: int) -> Plan:
