@@ -163,4 +163,6 @@ def slp1_to_iast(text: Column) -> Column:
 def to_iast(text: Column) -> Column:
     """Composed text in the working scheme; what is there already is left as it is."""
     scheme = detect_scheme(text)
-    return F.when(scheme.isin("IAST", "Kolkata") & ~text.rlike("[̀-ͯ]"), text).otherwise(_convert(text, scheme, F.lit("IAST")))
+    done = scheme.isin("IAST", "Kolkata") & ~text.rlike("[̀-ͯ]")
+    # The function sees a null instead of a text that is done, as its arguments are made for every row.
+    return F.when(done, text).otherwise(_convert(F.when(~done, text), scheme, F.lit("IAST")))

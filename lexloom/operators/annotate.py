@@ -100,19 +100,22 @@ def annotate(
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    tokens = surface_tokens(docs, max_length=max_length)
+    tokens = stored(surface_tokens(docs, max_length=max_length), "tokens")
     # Frequent words are analysed once: the join back is the only step that sees every token.
     known = stored(analyse(stored(tokens.select(F.col("surface").alias("w")).distinct(), "words"), lexicon), "known")
     rows = tokens.join(known, tokens["surface"] == known["w"]).drop("w").withColumn("found", F.col("source") != "miss")
     rows = rows.withColumn("stem", F.replace("stem", F.lit("-"), F.lit("")))
+    if mode != "detailed":
+        rows = rows.select("doc_id", "pos", "surface", "stem", "rank", "source", "found")
     if clean:
         heads = lexicon.dict_entry.select("headword").distinct()
         placed = rows.withColumn("pos", F.struct("pos", "rank"))
         new = records.cleaned(placed, heads, ["doc_id"]).withColumn("pos", F.col("pos")["pos"])
         changed = F.col("replaced") | F.col("merged")
-        blank = [F.when(~changed, F.col(c)).alias(c) for c in ("model", "analyses", "cells")]
-        source = F.when(changed, "dict").otherwise(F.col("source")).alias("source")
-        rows = new.select("doc_id", "pos", "surface", "stem", *blank, "path", source, "rank", (F.col("found") | changed).alias("found"))
+        for c in {"model", "analyses", "cells"} & set(rows.columns):
+            new = new.withColumn(c, F.when(~changed, F.col(c)))
+        new = new.withColumn("source", F.when(changed, "dict").otherwise(F.col("source"))).withColumn("found", F.col("found") | changed)
+        rows = new.select(*rows.columns)
     if mode == "roots":
         return records.roots_text(records.long_enough(rows), ["doc_id"])
     if mode == "parts":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from ..sources.stored import stored
 
 
 def drop_repeated(records: DataFrame, keys: list[str], listed: list[str] | None = None) -> DataFrame:
@@ -23,11 +24,13 @@ def merge_runs(
     skipped: dict[str, list[str]] | None = None,
     spelled: dict[str, list[str]] | None = None,
     unless: list[str] | None = None,
+    only: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Records where a prefix and the stem after it form a headword become one, from left to right.
 
     Behind a prefix stems of its list in ``skipped`` are passed over; its spellings in ``spelled`` are tried in
-    turn; a next stem that is one of ``unless`` is not joined.  A record that a merge consumed starts none.
+    turn; a next stem that is one of ``unless`` is not joined, and a prefix in ``only`` joins no others than its list.
+    ``records`` is read twice, so it should be a stored table.  A record that a merge consumed starts none.
     """
     by = Window.partitionBy(*keys).orderBy("pos")
     later = by.rowsBetween(1, Window.unboundedFollowing)
@@ -41,6 +44,8 @@ def merge_runs(
         ahead = ahead.withColumn("__j", F.when(F.col("stem") == prefix, F.col("__x")["i"]).otherwise(F.col("__j"))).drop("__x")
     forms = F.create_map(*[x for p in prefixes for x in (F.lit(p), F.array(*[F.lit(f) for f in (spelled or {}).get(p, [p])]))])
     tries = ahead.filter(F.col("stem").isin(prefixes) & F.col("__next").isNotNull() & ~F.col("__next").isin(unless or []))
+    for prefix, own in (only or {}).items():
+        tries = tries.filter((F.col("stem") != prefix) | F.col("__next").isin(own))
     tries = tries.select(*keys, "__i", "__j", "__next", F.posexplode(F.try_element_at(forms, F.col("stem"))).alias("__step", "__form"))
     known = heads.select(F.col("headword").alias("__joined")).distinct()
     found = tries.withColumn("__joined", F.concat("__form", "__next")).join(known, "__joined")
@@ -69,9 +74,9 @@ def cleaned(records: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
     ``records``: keys, pos, surface, stem and more columns; adds ``replaced`` and ``merged``.
     """
     out = replace_n_stems(drop_repeated(records, keys), heads)
-    out = merge_runs(out, heads.filter("headword = 'duḥkha'"), keys, ["duḥ"]).withColumnRenamed("merged", "__before")
-    out = merge_runs(out, heads, keys, ["sam", "anu", "ava"], rules.SKIPPED, rules.JOINED_SPELLINGS, rules.PREFIXES)
-    return out.withColumn("merged", F.col("merged") | F.col("__before")).drop("__before")
+    return merge_runs(
+        stored(out, "cleaned"), heads, keys, ["sam", "anu", "ava", "duḥ"], rules.SKIPPED, rules.JOINED_SPELLINGS, rules.PREFIXES, {"duḥ": ["kha"]}
+    )
 
 
 def replace_n_stems(records: DataFrame, heads: DataFrame, ending: str = "n") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, translit
 from ..operators import candidates, lookup, segment
 from ..sources import lexicon
+from ..sources.stored import stored_once
 from .text_queries import STOP, T, W, WORDS, docs, sql_in, turns, words
 
 #: Endings of the fixture paradigms: 24 nominal cells with repeats, and 9 verbal ones.
@@ -24,7 +25,11 @@ LETTERS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda
 
 
 def entries(spark, d):
-    """dict_name, headword, components, body, body_pos."""
+    """dict_name, headword, components, body, body_pos: made once a session."""
+    return stored_once(spark, "fixture-entries", d, lambda: _entries(spark, d))
+
+
+def _entries(spark, d):
     bench = spark.read.parquet(f"{d}/benchmark.parquet").select(F.lit("bench").alias("dict_name"), F.col("item_id").alias("id"), F.explode(text.letters(T())).alias("headword"))
     conv = turns(spark, d).select(F.concat(F.lit("conv_"), "role").alias("dict_name"), F.col("conv_id").alias("id"), F.explode(text.letters(T())).alias("headword"))
     rows = bench.unionByName(conv).groupBy("dict_name", "headword").agg(F.min("id").cast("string").alias("lo"), F.max("id").cast("string").alias("hi"))
@@ -42,7 +47,7 @@ EW = f"WITH {E}, {WORDS}"
 
 
 def heads(spark, d):
-    return entries(spark, d).select("headword").distinct()
+    return stored_once(spark, "fixture-heads", d, lambda: entries(spark, d).select("headword").distinct())
 
 
 def bench_words(spark, d):
@@ -64,16 +69,19 @@ CASCADE = f"{EW}, {ASKED}, st AS ({STAGE[1]} UNION ALL {STAGE[2]} UNION ALL {STA
 
 
 def tables(spark, d):
-    """(form_index, paradigm) of the fixture: stems of 4 to 8 letters for nouns, 5 to 7 for verbs."""
+    """(form_index, paradigm) of the fixture, made once a session: stems of 4 to 8 letters for nouns, 5 to 7 for verbs."""
+    paradigm = stored_once(spark, "fixture-paradigm", d, lambda: _paradigm(spark, d))
+    return paradigm.select("kind", F.explode(F.array_distinct("cells")).alias("form"), "model", "stem", F.length("stem").alias("ord")), paradigm
+
+
+def _paradigm(spark, d):
     w = bench_words(spark, d)
     out = []
     for kind, lo, hi, endings in (("noun", 4, 8, NOUN), ("verb", 5, 7, VERB)):
         stems = w.filter(F.length("w").between(lo, hi)).select(F.lit(kind).alias("kind"), F.concat(F.lit(kind[0]), (F.length("w") % 2).cast("string")).alias("model"), F.col("w").alias("stem"))
         cells = F.transform(F.array(*[F.lit(x) for x in endings]), lambda x: F.concat("stem", x))
         out.append(stems.select("kind", "model", "stem", F.concat(F.lit("1,"), "stem", F.lit(";2")).alias("refs"), cells.alias("cells")))
-    paradigm = out[0].unionByName(out[1])
-    forms = paradigm.select("kind", F.explode(F.array_distinct("cells")).alias("form"), "model", "stem", F.length("stem").alias("ord"))
-    return forms, paradigm
+    return out[0].unionByName(out[1])
 
 
 def _endings(xs):

@@ -114,7 +114,7 @@ def queries():
         "json_text_extract": lambda s, d: lexicon.texts_in_json(s.read.parquet(f"{d}/events.parquet").select("event_id", F.concat(F.lit('{"a": [{"text": "x"}, {"b": {"text": "y"}}], "props": '), F.coalesce("props", F.lit("null")), F.lit("}")).alias("j")), "j"),
         "annotate_tokens": lambda s, d: annotate.annotate(docs(s, d), small_lexicon(s, d)).select("doc_id", "pos", "surface", "stem", "model", "source", "rank"),
         "annotate_roots": lambda s, d: annotate.annotate(docs(s, d), small_lexicon(s, d), "roots"),
-        "annotate_sources": lambda s, d: annotate.annotate(docs(s, d), small_lexicon(s, d)).groupBy("source").agg(F.count("*").alias("n")),
+        "annotate_sources": lambda s, d: annotate.annotate(docs(s, d), small_lexicon(s, d)).select("source").groupBy("source").agg(F.count("*").alias("n")),
         "model_segments": lambda s, d: model.segmented(docs(s, d).select("doc_id", "text"), lambda: lambda prompts: [p[2:].replace("e", "_") for p in prompts]),
         "lexicon_scan": lambda s, d: tables(s, d)[1].select("kind", "model", "stem", F.size("cells").alias("n")),
     }

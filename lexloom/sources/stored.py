@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: dict[tuple, DataFrame] = {}
+
+
+def stored_once(spark: SparkSession, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, stored on first use for the session's life under ``name`` and ``key``; several plans may read it."""
+    own = (spark.sparkContext.applicationId, shared_dir(spark), name, key)
+    if own not in _made:
+        _made[own] = stored(make(), name)
+    return spark.read.schema(_made[own].schema).parquet(*{f.rsplit("/", 1)[0] for f in _made[own].inputFiles()})
+
+
 def drop_stored(df: DataFrame) -> None:
     """Remove a table that ``stored`` made and that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
