@@ -10,6 +10,8 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points of one cut, unless one text has more.
 CUT = 1 << 20
@@ -42,6 +44,19 @@ def cuts(texts: list[str | None], most: int = CUT) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = CUT) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of ``most`` bytes of text or so, and CUT_TEXTS rows: only one part's texts are Python strings at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > most or i - start == CUT_TEXTS):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def joined_text(texts: list[str | None]) -> str:
     """All texts in one, at the places that ``code_points`` gives their characters."""
     return "\n" + "\n".join([t or "" for t in texts]) + "\n"

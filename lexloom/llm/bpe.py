@@ -28,11 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import END, LETTER, SPACE, classes, code_points, cuts, joined_text, prefix_hashes, run_hashes, spread
+from .arrays import END, LETTER, SPACE, classes, code_points, cuts, joined_text, prefix_hashes, run_hashes, slices, spread
 
 NEVER = 1 << 40
 #: Most states of the transition table, and most words of the cache of a worker.
-MOST_STATES, MOST_WORDS = 200_000, 400_000
+MOST_STATES, MOST_WORDS = 200_000, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -281,21 +281,17 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(path)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in cuts(texts):
-                tokens = made.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(a, b - a),
-                        pa.array([len(t) for t in tokens], pa.int64()),
-                        pa.array([hashlib.sha256(t.astype("<u4").tobytes()).hexdigest() for t in tokens], pa.string()),
-                        pa.array(
-                            [hashlib.sha256(made.automaton.decode(t).encode()).hexdigest() for t in tokens], pa.string()
-                        ),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for part in (p for batch in batches for p in slices(batch, 1)):
+            tokens = made.encode(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(t) for t in tokens], pa.int64()),
+                    pa.array([hashlib.sha256(t.astype("<u4").tobytes()).hexdigest() for t in tokens], pa.string()),
+                    pa.array([hashlib.sha256(made.automaton.decode(t).encode()).hexdigest() for t in tokens], pa.string()),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LETTER, classes, code_points, cuts, mix, prefix_hashes, run_hashes, runs, spread
+from .arrays import LETTER, classes, code_points, cuts, mix, prefix_hashes, run_hashes, runs, slices, spread
 from .common import stored
 
 LANG_DOCS, TOTAL_DOCS, MOST_LANGS = 256, 4096, 256
@@ -266,15 +266,12 @@ def learn(docs: DataFrame) -> Chain:
 
 def _predictor(chain: Chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in cuts(texts, LABELLED_AT_ONCE):
-                names, score = chain.predict(texts[a:b])
-                kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                    names=[*batch.schema.names[:-1], "lang_pred", "score"],
-                )
+        for part in (p for batch in batches for p in slices(batch, batch.num_columns - 1, LABELLED_AT_ONCE)):
+            names, score = chain.predict(part.column(part.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())],
+                names=[*part.schema.names[:-1], "lang_pred", "score"],
+            )
 
     return run
 
@@ -293,11 +290,10 @@ def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for a, b in cuts(texts, LABELLED_AT_ONCE):
-                names, score = chain.predict(texts[a:b])
-                good = [n != UNKNOWN and s >= least for n, s in zip(names, score.tolist(), strict=True)]
-                yield batch.slice(a, b - a).filter(pa.array(good, pa.bool_()))
+        at = schema.fieldNames().index("text")
+        for part in (p for batch in batches for p in slices(batch, at, LABELLED_AT_ONCE)):
+            names, score = chain.predict(part.column(at).to_pylist())
+            good = [n != UNKNOWN and s >= least for n, s in zip(names, score.tolist(), strict=True)]
+            yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import code_points, cuts, is_word, mix, prefix_hashes, run_hashes, runs
+from .arrays import code_points, is_word, mix, prefix_hashes, run_hashes, runs, slices
 from .common import drop_stored, spread_join, stored
 
 BANDS, ROWS = 40, 6
@@ -129,40 +129,32 @@ def _sums(sets: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in cuts(texts, CUT_AT):
-            sets, counts = shingle_sets(texts[a:b])
-            has = np.flatnonzero(counts)
-            keys = band_keys(super_minhash(sets, counts[has])) if len(has) else np.zeros((0, BANDS), np.uint64)
-            offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(a, b - a),
-                    pa.array(counts.astype(np.int64)),
-                    pa.array(_sums(sets, counts, 0x1B873593).view(np.int64)),
-                    pa.array(_sums(sets, counts, 0x7FEB352D).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64))),
-                ],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands"],
-            )
+    for part in (p for batch in batches for p in slices(batch, 1, CUT_AT)):
+        sets, counts = shingle_sets(part.column(1).to_pylist())
+        has = np.flatnonzero(counts)
+        keys = band_keys(super_minhash(sets, counts[has])) if len(has) else np.zeros((0, BANDS), np.uint64)
+        offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                part.column(0),
+                pa.array(counts.astype(np.int64)),
+                pa.array(_sums(sets, counts, 0x1B873593).view(np.int64)),
+                pa.array(_sums(sets, counts, 0x7FEB352D).view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64))),
+            ],
+            names=["doc_id", "n_shingles", "k1", "k2", "bands"],
+        )
 
 
 def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        k1, k2 = (np.asarray(batch.column(i)) for i in (2, 3))
-        for a, b in cuts(texts, CUT_AT):
-            sets, counts = shingle_sets(texts[a:b])
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.view(np.int64)))
-            own = (_sums(sets, counts, 0x1B873593).view(np.int64) == k1[a:b]) & (
-                _sums(sets, counts, 0x7FEB352D).view(np.int64) == k2[a:b]
-            )
-            made = pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), batch.column(2).slice(a, b - a), packed], names=["rep", "k1", "shingles"]
-            )
-            yield made.filter(pa.array(own))
+    for part in (p for batch in batches for p in slices(batch, 1, CUT_AT)):
+        k1, k2 = (np.asarray(part.column(i)) for i in (2, 3))
+        sets, counts = shingle_sets(part.column(1).to_pylist())
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.view(np.int64)))
+        own = (_sums(sets, counts, 0x1B873593).view(np.int64) == k1) & (_sums(sets, counts, 0x7FEB352D).view(np.int64) == k2)
+        made = pa.RecordBatch.from_arrays([part.column(0), part.column(2), packed], names=["rep", "k1", "shingles"])
+        yield made.filter(pa.array(own))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:

@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .arrays import END, LETTER, NUMBER, OTHER, classes, code_points, cuts, joined_text
+from .arrays import END, LETTER, NUMBER, OTHER, classes, code_points, cuts, joined_text, slices
 from .bpe import WordCache, _endings
 from .common import stored
 
 LIMIT, END_ID = 2048, 0
+#: Bytes of text that are tokenised at a time.
+CUT_AT = 1 << 18
 
 
 def lower_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,26 +103,24 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(path)
         end = np.array([END_ID], np.uint32)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in cuts(texts):
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, tokens in enumerate(made.encode(texts[a:b])):
-                    tokens = np.concatenate([tokens, end]).astype("<u4")
-                    for k, s in enumerate(range(0, len(tokens), limit)):
-                        part = tokens[s : s + limit]
-                        row.append(a + i), piece.append(k), start.append(s)
-                        length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(row, pa.int64())),
-                        pa.array(piece, pa.int32()),
-                        pa.array(start, pa.int64()),
-                        pa.array(length, pa.int64()),
-                        pa.array(crc, pa.int64()),
-                    ],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        for part in (p for batch in batches for p in slices(batch, 1, CUT_AT)):
+            row, piece, start, length, crc = [], [], [], [], []
+            for i, tokens in enumerate(made.encode(part.column(1).to_pylist())):
+                tokens = np.concatenate([tokens, end]).astype("<u4")
+                for k, s in enumerate(range(0, len(tokens), limit)):
+                    own = tokens[s : s + limit]
+                    row.append(i), piece.append(k), start.append(s)
+                    length.append(len(own)), crc.append(zlib.crc32(own.tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(pa.array(row, pa.int64())),
+                    pa.array(piece, pa.int32()),
+                    pa.array(start, pa.int64()),
+                    pa.array(length, pa.int64()),
+                    pa.array(crc, pa.int64()),
+                ],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long"
