@@ -171,17 +171,23 @@ def bounds(size: int, least: float = LEAST) -> tuple[int, int]:
 
 def telling_words(least: float = LEAST) -> list[str]:
     """Few long words such that every unit that matches some template holds one of them."""
-    todo = {i: (own, len(own) * least / (2 - least)) for i, (_, own) in enumerate(templates())}
-    words = sorted({w for own, _ in todo.values() for g in own for w in g.split()})
+    grams = [(i, g.split()) for i, (_, own) in enumerate(templates()) for g in own]
+    sizes = [len(own) for _, own in templates()]
+    words = sorted({w for _, g in grams for w in g})
+    held = {w: {k for k, (_, g) in enumerate(grams) if any(w in x for x in g)} for w in words}
+    untouched = set(range(len(grams)))
     out: list[str] = []
-
-    def missed(own: list[str], chosen: list[str]) -> int:
-        return sum(not any(c in w for w in g.split() for c in chosen) for g in own)
-
-    while todo := {i: x for i, x in todo.items() if missed(x[0], out) >= x[1] - 1e-9}:
-        gain = {w: sum(missed(own, out) - missed(own, [*out, w]) for own, _ in todo.values()) for w in words}
+    while True:
+        left = [0] * len(sizes)
+        for k in untouched:
+            left[grams[k][0]] += 1
+        todo = {i for i, n in enumerate(left) if n >= sizes[i] * least / (2 - least) - 1e-9}
+        if not todo:
+            return out
+        open_ = {k for k in untouched if grams[k][0] in todo}
+        gain = {w: len(held[w] & open_) for w in words}
         out.append(max((w for w in words if gain[w]), key=lambda w: (len(w) >= 6, gain[w], len(w), w)))
-    return out
+        untouched -= held[out[-1]]
 
 
 def _hashed(grams: list[str]) -> Column:
