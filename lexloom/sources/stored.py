@@ -33,7 +33,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 _made: dict[tuple, DataFrame] = {}
@@ -44,13 +46,12 @@ def stored_once(spark: SparkSession, name: str, key: str, make: Callable[[], Dat
     own = (spark.sparkContext.applicationId, shared_dir(spark), name, key)
     if own not in _made:
         _made[own] = stored(make(), name)
-    return spark.read.schema(_made[own].schema).parquet(*{f.rsplit("/", 1)[0] for f in _made[own].inputFiles()})
+    return spark.read.schema(_made[own].schema).parquet(_made[own].stored_at)
 
 
 def drop_stored(df: DataFrame) -> None:
     """Remove a table that ``stored`` made and that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+    _remove(df.sparkSession, df.stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
