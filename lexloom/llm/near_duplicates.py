@@ -202,7 +202,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         drop_stored(pairs)
         pairs = after
         if digest == before:  # nothing moves any more
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.stored_at = pairs.stored_at
+            return out
         before = digest
 
 
