@@ -21,6 +21,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -209,7 +210,7 @@ class WordCache:
         found = self.encode(words)
         counts = np.fromiter(map(len, found), np.int64, len(found))
         n, k = len(self.slots), self.used
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
         while k + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(keys) > len(self.starts):

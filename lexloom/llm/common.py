@@ -2,26 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stored import drop_stored, shared_dir, stored
 
-__all__ = ["added", "bound", "chunks", "drop_stored", "matches", "no_matches", "running", "shared_dir", "spans_text", "spread_join", "stored", "table", "with_row", "words_of"]
+__all__ = ["added", "bound", "chunks", "drop_stored", "matches", "no_matches", "released", "running", "shared_dir", "small_batches", "spans_text", "spread_join", "stored", "table", "with_row", "words_of"]
 
 #: White space of the word rule, as a regular expression and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Matches folded into one accumulator before the outer fold sees them; keeps folds near linear.
 CHUNK = 256
+#: Rows of an Arrow batch whose rows hold whole texts or sets; the executor and its worker each hold a batch of every task.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, Arrow functions that run get at most BATCH_ROWS rows at a time; the session's own setting comes back behind."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    if not 0 < int(own) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """An Arrow function whose worker hands the memory it no longer needs back to the machine at a task's end.
+
+    Workers wait for later tasks of any operator, and what they hold meanwhile is taken from these.
+    """
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], held: str, most: int) -> DataFrame:
     """``rows`` joined with ``table``, whose column ``held`` says how many rows each key has.
 

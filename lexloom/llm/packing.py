@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 
 from .arrays import END, LETTER, NUMBER, OTHER, classes, code_points, cuts, joined_text, slices
 from .bpe import WordCache, _endings
-from .common import stored
+from .common import released, small_batches, stored
 
 LIMIT, END_ID = 2048, 0
 #: Bytes of text that are tokenised at a time.
@@ -61,7 +61,21 @@ class LowerCodec:
         self.tokenizer = tokenizer
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, added)))
-        self.cache = WordCache(lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)])
+        self.model = tokenizer.model
+        self.cache = WordCache(self._words)
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of lower-case words.  Printable ASCII stands for itself in the byte alphabet, so the merges alone are asked for it."""
+        out: list[list[int]] = [[]] * len(words)
+        other = []
+        for i, w in enumerate(words):
+            if w.isascii() and w.isprintable():
+                out[i] = [t.id for t in self.model.tokenize(w)]
+            else:
+                other.append(i)
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -123,7 +137,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        released(run), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 
@@ -270,7 +284,8 @@ def _slots(made: Plan) -> dict[int, tuple[np.ndarray, ...]]:
 
 def pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
-    cut = stored(pieces(docs, path, limit).withColumn("part", F.spark_partition_id()), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = stored(pieces(docs, path, limit).withColumn("part", F.spark_partition_id()), "pieces")
     per_part = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))

@@ -376,3 +376,26 @@ def test_hashes_of_runs_do_not_depend_on_their_place():
     starts, ends = arrays.runs(arrays.is_word(codes))
     h = arrays.run_hashes(arrays.prefix_hashes(codes), starts, ends)
     assert h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
+
+
+def test_plain_words_are_encoded_by_merges_alone():
+    made = packing.LowerCodec(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 24))) for _ in range(3000)]
+    words += ["".join(rng.choice("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~'\\") for _ in range(rng.randint(1, 5))) for _ in range(1000)]
+    words += [*"0123456789", "'s", "'ll", "é", "straße", "\x00", "\x7f", "日本", "ā"]
+    expected = [e.ids for e in made.tokenizer.encode_batch(words, add_special_tokens=False)]
+    asked = []
+
+    class Recorder:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, some, **named):
+            asked.extend(some)
+            return self.inner.encode_batch_fast(some, **named)
+
+    made.tokenizer = Recorder(made.tokenizer)
+    got = made.encode([" ".join(words)])[0].tolist()
+    assert got == [i for ids in expected for i in ids]
+    assert asked and not any(w.isascii() and w.isprintable() for w in asked)
