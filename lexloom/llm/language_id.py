@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LETTER, classes, code_points, cuts, mix, prefix_hashes, run_hashes, runs, slices, spread
-from .common import stored
+from .common import released, stored
 
 LANG_DOCS, TOTAL_DOCS, MOST_LANGS = 256, 4096, 256
 BUCKETS = 1 << 15
@@ -280,7 +280,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row a document."""
     chain = learn(docs)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        _predictor(chain), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
+        released(_predictor(chain)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
     )
 
 
@@ -296,4 +296,4 @@ def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
             good = [n != UNKNOWN and s >= least for n, s in zip(names, score.tolist(), strict=True)]
             yield part.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

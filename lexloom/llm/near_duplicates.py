@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import code_points, is_word, mix, prefix_hashes, run_hashes, runs, slices
-from .common import drop_stored, spread_join, stored
+from .common import drop_stored, released, small_batches, spread_join, stored
 
 BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
@@ -215,8 +215,13 @@ def _digest(pairs: DataFrame) -> tuple:
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
+    with small_batches(docs.sparkSession):
+        return _grouped(docs, id_col, text_col)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(_signed, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
+    signed = stored(texts.mapInArrow(released(_signed), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
     keyed = signed.filter("n_shingles > 0 and doc_id is not null")
     key = ["n_shingles", "k1", "k2"]
     classes = stored(
@@ -230,13 +235,13 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     wanted = shared.select("rep", "k1").dropDuplicates().join(classes.select("rep", "k1", "k2"), ["rep", "k1"])
     rows = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text", "k1", "k2")
     # An id may stand on several rows; a class's own set is the one with its digest.
-    sets = stored(rows.mapInArrow(_as_sets, "rep long, k1 long, shingles array<long>").dropDuplicates(["rep", "k1"]), "sets")
+    sets = stored(rows.mapInArrow(released(_as_sets), "rep long, k1 long, shingles array<long>").dropDuplicates(["rep", "k1"]), "sets")
 
     def tested(pairs: DataFrame) -> DataFrame:
         """The links (a, b) among pairs of classes, tested on full sets; each pair is tested once."""
         fit = pairs.filter(f"{OF} * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)").select("a", "ka", "b", "kb").dropDuplicates()
         both = fit.join(sets.toDF("a", "ka", "sa"), ["a", "ka"]).join(sets.toDF("b", "kb", "sb"), ["b", "kb"])
-        return both.select("a", "b", "sa", "sb").mapInArrow(_tested, "a long, b long")
+        return both.select("a", "b", "sa", "sb").mapInArrow(released(_tested), "a long, b long")
 
     # Rows of one id in several classes tie these together.
     ties = keyed.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("x <> y")

@@ -59,3 +59,27 @@ def test_every_stage_on_odd_tables(spark, tmp_path):
         if r["doc_id"] is not None:
             assert tuple(r)[5:] == original[r["doc_id"]][5:]
     assert {r["doc_id"] for r in corpus_pipeline.packed(spark, at, "").collect()} == {r["doc_id"] for r in left}
+
+
+def test_near_dedup_and_packing_take_small_batches_and_hand_memory_back(spark, monkeypatch):
+    import pyarrow as pa
+    import public_tokenizers
+
+    from lexloom.llm import common, near_duplicates, packing
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own, seen = spark.conf.get(name), []
+    for module in (near_duplicates, packing):
+        monkeypatch.setattr(module, "stored", lambda df, n, f=module.stored: seen.append(int(spark.conf.get(name))) or f(df, n))
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(20)], "doc_id long, text string")
+    assert near_duplicates.group(docs).count() == 20
+    assert packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 20
+    assert seen and max(seen) <= common.BATCH_ROWS and spark.conf.get(name) == own
+    freed = []
+
+    class Pool:
+        def release_unused(self):
+            freed.append(1)
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    assert list(common.released(iter)([1, 2])) == [1, 2] and freed == [1]
