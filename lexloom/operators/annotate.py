@@ -89,6 +89,21 @@ def analyse(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     return ranked.drop("o")
 
 
+def _by_clean_up(tokens: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens that the clean-up may rewrite by what stands beside them, and all others.
+
+    It drops, passes over and merges only stems of a short list, and the record before or after them; so
+    a token is of the first kind if it, or the one before or after it, may have such a stem.
+    """
+    listed = records.CLEANED
+    some = known.filter(F.col("stem").isin(listed) | F.col("surface").isin(listed)).select("surface").distinct()
+    around = F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1))
+    near = tokens.join(some, "surface", "left_semi").select(F.col("doc_id").alias("__doc"), around.alias("__pos")).distinct()
+    near = stored(near, "near")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("pos") == F.col("__pos"))
+    return tokens.join(near, same, "left_semi"), tokens.join(near, same, "left_anti")
+
+
 def annotate(
     docs: DataFrame, lexicon: Lexicon, mode: str = "detailed", dicts: list[str] | None = None, max_length: int | None = None, clean: bool = True
 ) -> DataFrame:
@@ -102,15 +117,19 @@ def annotate(
         raise ValueError(f"mode is one of {MODES}")
     tokens = stored(surface_tokens(docs, max_length=max_length), "tokens")
     # Frequent words are analysed once: the join back is the only step that sees every token.
-    known = stored(analyse(stored(tokens.select(F.col("surface").alias("w")).distinct(), "words"), lexicon), "known")
-    rows = tokens.join(known, tokens["surface"] == known["w"]).drop("w").withColumn("found", F.col("source") != "miss")
-    rows = rows.withColumn("stem", F.replace("stem", F.lit("-"), F.lit("")))
+    known = analyse(stored(tokens.select(F.col("surface").alias("w")).distinct(), "words"), lexicon).withColumnRenamed("w", "surface")
+    known = known.withColumn("stem", F.replace("stem", F.lit("-"), F.lit(""))).withColumn("found", F.col("source") != "miss")
     if mode != "detailed":
-        rows = rows.select("doc_id", "pos", "surface", "stem", "rank", "source", "found")
+        known = known.select("surface", "stem", "rank", "source", "found")
+    known = stored(known, "known")
+    rows = tokens.join(known, "surface")
     if clean:
         heads = lexicon.dict_entry.select("headword").distinct()
-        placed = rows.withColumn("pos", F.struct("pos", "rank"))
+        close, apart = _by_clean_up(tokens, known)
+        placed = close.join(known, "surface").withColumn("pos", F.struct("pos", "rank"))
         new = records.cleaned(placed, heads, ["doc_id"]).withColumn("pos", F.col("pos")["pos"])
+        alone = stored(records.replace_n_stems(known, heads).withColumn("merged", F.lit(False)), "alone")
+        new = apart.join(alone, "surface").unionByName(new)
         changed = F.col("replaced") | F.col("merged")
         for c in {"model", "analyses", "cells"} & set(rows.columns):
             new = new.withColumn(c, F.when(~changed, F.col(c)))

@@ -9,6 +9,11 @@ from ..functions import rules, text
 from ..sources.stored import stored
 
 
+#: Preverbs that the clean-up merges, and all stems that it drops, merges or passes over.
+MERGED = ["sam", "anu", "ava", "duḥ"]
+CLEANED = sorted({*rules.FILTERED, *MERGED, *(s for own in rules.SKIPPED.values() for s in own)})
+
+
 def drop_repeated(records: DataFrame, keys: list[str], listed: list[str] | None = None) -> DataFrame:
     """Without records whose stem is one of ``listed`` and equals the stem before."""
     before = F.lag("stem").over(Window.partitionBy(*keys).orderBy("pos"))
@@ -33,12 +38,13 @@ def merge_runs(
     ``records`` is read twice, so it should be a stored table.  A record that a merge consumed starts none.
     """
     by = Window.partitionBy(*keys).orderBy("pos")
-    later = by.rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, what follows is what came before: frames that end at a row grow with it, those that begin there are read anew for each row.
+    later = Window.partitionBy(*keys).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     place = F.row_number().over(by)
     ahead = records.withColumn("__i", place).withColumn("__next", F.lead("stem").over(by)).withColumn("__j", F.col("__i") + 1)
     for prefix, own in (skipped or {}).items():
         other = F.when(~F.col("stem").isin(own), F.struct("stem", F.col("__i").alias("i")))
-        next_other = F.first(other, ignorenulls=True).over(later)
+        next_other = F.last(other, ignorenulls=True).over(later)
         ahead = ahead.withColumn("__x", F.when(F.col("stem") == prefix, next_other))
         ahead = ahead.withColumn("__next", F.when(F.col("stem") == prefix, F.col("__x")["stem"]).otherwise(F.col("__next")))
         ahead = ahead.withColumn("__j", F.when(F.col("stem") == prefix, F.col("__x")["i"]).otherwise(F.col("__j"))).drop("__x")
@@ -75,7 +81,7 @@ def cleaned(records: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
     """
     out = replace_n_stems(drop_repeated(records, keys), heads)
     return merge_runs(
-        stored(out, "cleaned"), heads, keys, ["sam", "anu", "ava", "duḥ"], rules.SKIPPED, rules.JOINED_SPELLINGS, rules.PREFIXES, {"duḥ": ["kha"]}
+        stored(out, "cleaned"), heads, keys, MERGED, rules.SKIPPED, rules.JOINED_SPELLINGS, rules.PREFIXES, {"duḥ": ["kha"]}
     )
 
 

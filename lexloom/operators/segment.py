@@ -14,6 +14,8 @@ from ..functions import rules, text
 
 #: Least score of an accepted first segment, and of a whole split.
 ACCEPT, ACCEPT_SPLIT = 0.6, 0.535
+#: Most headwords that are sent to all executors.
+MOST_SENT = 300_000
 
 
 def first_score(first: Column, rest: Column, known: Column, rest_known: Column, base_known: Column) -> Column:
@@ -81,9 +83,13 @@ def lattice(words: DataFrame, heads: DataFrame) -> DataFrame:
         lambda v: F.concat(F.expr("left(p, length(p) - 1)"), v),
     )
     spelled = pieces.select("w", "s", "n", F.posexplode(F.array_distinct(F.concat(F.array("p"), others))).alias("o", "v"))
-    hits = spelled.join(heads.select(F.col("headword").alias("v")).distinct(), "v")
-    one = hits.groupBy("w", "s", "n").agg(F.min_by("v", "o").alias("v"))
-    return one.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("s", "n", "v"))).alias("edges"))
+    known = heads.select(F.col("headword").alias("v")).distinct()
+    # Pieces are many times the words: while headwords are few, they are sent to the pieces instead.
+    known = F.broadcast(known) if known.limit(MOST_SENT + 1).count() <= MOST_SENT else known
+    listed = F.array_sort(F.collect_list(F.struct("s", "n", "o", "v")))
+    hits = spelled.join(known, "v").groupBy("w").agg(listed.alias("hits"))
+    first = F.filter("hits", lambda e, i: (i == 0) | (F.get("hits", i - 1)["s"] != e["s"]) | (F.get("hits", i - 1)["n"] != e["n"]))
+    return hits.select("w", F.transform(first, lambda e: F.struct(e["s"].alias("s"), e["n"].alias("n"), e["v"].alias("v"))).alias("edges"))
 
 
 def greedy(word: Column, edges: Column) -> Column:

@@ -271,3 +271,43 @@ def test_sql_functions(spark):
     annotate.register(spark)
     row = spark.sql("SELECT lex_detect('kṛṣṇa') AS s, lex_normalize('a--b  o''x.') AS n, lex_truncate('abc') AS t").first()
     assert row["s"] == "IAST" and row["n"] == "a--b aḥ ax" and row["t"] == "abc"
+
+
+def test_clean_up_by_neighbours_equals_that_of_whole_documents(spark):
+    """Only tokens near listed stems go through the ordered clean-up; the result is that over all records."""
+    import random
+
+    from lexloom.operators import annotate as module
+
+    words = ["sam", "sa", "anu", "ava", "na", "ca", "kha", "duḥ", "bandha", "deva", "xyz", "gam", "rājan"]
+    entries = [("mw", w, None, "", 0) for w in [*words, "sambandha", "samdeva", "anugam", "avagam", "duḥkha"]]
+    lex = lexicon.Lexicon.from_rows(spark, dict_entry=entries)
+    rng = random.Random(4)
+    rows = [(i if i else None, " ".join(rng.choice(words) for _ in range(60))) for i in range(8)]
+    rows += [(3, "xyz sam sam bandha"), (9, "xyz " * 50 + "sam"), (10, "deva " * 9 + "ca ca " + "xyz " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ["doc_id", "pos", "surface", "stem", "source", "rank", "found"]
+    got = annotate.annotate(docs, lex).select(columns).collect()
+    placed = annotate.annotate(docs, lex, clean=False).select(columns).withColumn("pos", F.struct("pos", "rank"))
+    whole = records.cleaned(placed, lex.dict_entry.select("headword").distinct(), ["doc_id"]).withColumn("pos", F.col("pos")["pos"])
+    changed = F.col("replaced") | F.col("merged")
+    whole = whole.withColumn("source", F.when(changed, "dict").otherwise(F.col("source"))).withColumn("found", F.col("found") | changed)
+    # Ids that two texts share (3) leave the order of their records open.
+    key = lambda r: str(tuple(r))
+    assert sorted((r for r in got if r["doc_id"] != 3), key=key) == sorted((r for r in whole.select(columns).collect() if r["doc_id"] != 3), key=key)
+    close, apart = module._by_clean_up(*(spark.createDataFrame(x, s) for x, s in (([(1, p, w) for p, w in enumerate("xyz xyz sam deva xyz".split())], "doc_id long, pos int, surface string"), ([(w, w) for w in words], "surface string, stem string"))))
+    assert sorted(r["pos"] for r in close.collect()) == [1, 2, 3] and sorted(r["pos"] for r in apart.collect()) == [0, 4]
+
+
+def test_roman_schemes_are_read_by_longest_spelling():
+    from lexloom.functions import translit
+
+    texts = ["kRSNa lRRkAra aicchat", "RRiShi ~nAna chChAyA LLi", ".rr.si \"sa~nkara aa.m.h", "kfzRa Eka OzaDa", "q x -' 12 ai au khgh", ""]
+    for source in translit.VOWELS:
+        for target in translit.VOWELS:
+            for t in texts:
+                word = t.lower() if source in ("IAST", "KOLKATA") else t
+                sounds = translit._read_roman(word, source)
+                want = "".join(s if isinstance(s, str) else translit._sounds(target)[s] for s in sounds)
+                assert translit.convert(t, source, target) == want
+    assert translit._roman_pattern("ITRANS", "IAST")[0].sub("", "nidhana") == "nidhana"
