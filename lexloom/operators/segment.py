@@ -73,6 +73,8 @@ def lattice(words: DataFrame, heads: DataFrame) -> DataFrame:
     join serve all words; pieces are no longer than the longest headword, so they are linear in a word's length.
     """
     longest = heads.agg(F.coalesce(F.max(F.length("headword")), F.lit(0))).scalar()
+    # A word is a few bytes, but its pieces are many: a small table would leave all of them to one task.
+    words = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "w")
     pieces = words.filter(F.length("w") >= 2).select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("s"))
     most = F.least(F.length("w") - F.col("s") + 1, longest)
     pieces = pieces.select("w", "s", F.explode(F.sequence(F.lit(2), F.greatest(most, F.lit(2)))).alias("n"))

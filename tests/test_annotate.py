@@ -311,3 +311,11 @@ def test_roman_schemes_are_read_by_longest_spelling():
                 want = "".join(s if isinstance(s, str) else translit._sounds(target)[s] for s in sounds)
                 assert translit.convert(t, source, target) == want
     assert translit._roman_pattern("ITRANS", "IAST")[0].sub("", "nidhana") == "nidhana"
+
+
+def test_pieces_of_a_small_table_are_spread_over_tasks(spark):
+    words = spark.createDataFrame([(f"rājapuruṣa{'a' * i}",) for i in range(40)], "w string").coalesce(1)
+    heads = spark.createDataFrame([("rāja",), ("puruṣa",)], "headword string")
+    found = segment.segment_greedy(words, heads).select("parts", F.spark_partition_id().alias("task")).collect()
+    assert {tuple(r["parts"]) for r in found} == {("rāja", "puruṣa")} and len(found) == 40
+    assert len({r["task"] for r in found}) > 1
